@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ecoc import op10_output_codes_lang
+from .mil import op3_attention_quality
 from .packing import op9_best_fit_packing
+from .pfair import op7_pfair_mixing
+from .robust import op1_robust_outliers
+from .surrogates import op8_surrogate_pii
 from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_robust_outliers": op1_robust_outliers,
+    "op3_attention_quality": op3_attention_quality,
     "op5_token_counts": op5_token_counts,
+    "op7_pfair_mixing": op7_pfair_mixing,
+    "op8_surrogate_pii": op8_surrogate_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_output_codes_lang": op10_output_codes_lang,
 }
 
 ORACLE_SQL: dict[str, str] = {}
