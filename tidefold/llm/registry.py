@@ -10,12 +10,14 @@ from .ecoc import op10_output_codes_lang
 from .mil import op3_attention_quality
 from .packing import op9_best_fit_packing
 from .pfair import op7_pfair_mixing
+from .repeats import op2_repeat_intervals
 from .robust import op1_robust_outliers
 from .surrogates import op8_surrogate_pii
 from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_repeat_intervals": op2_repeat_intervals,
     "op3_attention_quality": op3_attention_quality,
     "op5_token_counts": op5_token_counts,
     "op7_pfair_mixing": op7_pfair_mixing,
