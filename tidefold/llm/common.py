@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def reclaim(self) -> None:
+        """Let Spark remove the shuffle files of finished steps, which it does when their plans are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         path = self.paths.pop(id(df), None)
@@ -142,20 +148,18 @@ def spans_hash(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((total[hi] - total[lo]) * down[lo] ^ (hi - lo).astype(np.uint64) * _C2)
 
 
-def order_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, doc_id, text): k is unique and ordered as (doc_id, text), null ids last.
+def order_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(k, doc_id, text), and whether k is the id: k is unique and ordered as (doc_id, text), null ids last.
 
     Where ids are unique and not null, k is the id and nothing is written. Else the rows are sorted
     once by (id, SHA-256 of the text) into a scratch table and numbered in that order."""
-    n, ids, least, known = docs.agg(F.count("*"), F.approx_count_distinct(id_col), F.min(id_col), F.count(id_col)).first()
-    ok = n == known and (n == 0 or least is not None)
-    if ok and n:
-        ok = docs.groupBy(id_col).count().where("count > 1").limit(1).count() == 0
+    n, known = docs.agg(F.count("*"), F.count(id_col)).first()
+    ok = n == known and docs.groupBy(id_col).count().where("count > 1").limit(1).count() == 0
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if ok:
-        return base.select(F.col("doc_id").alias("k"), "doc_id", "text")
+        return base.select(F.col("doc_id").alias("k"), "doc_id", "text"), True
     ordered = base.withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.col("doc_id").asc_nulls_last(), "_h")
-    return scratch.write(ordered.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text"), "keyed")
+    return scratch.write(ordered.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text"), "keyed"), False
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:

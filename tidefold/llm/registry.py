@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ecoc import op10_output_codes_lang
+from .jaccard import op4_partition_jaccard
 from .mil import op3_attention_quality
 from .packing import op9_best_fit_packing
 from .pfair import op7_pfair_mixing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_repeat_intervals": op2_repeat_intervals,
     "op3_attention_quality": op3_attention_quality,
+    "op4_partition_jaccard": op4_partition_jaccard,
     "op5_token_counts": op5_token_counts,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_surrogate_pii": op8_surrogate_pii,
