@@ -284,7 +284,7 @@ def maximal_repeats(keyed: DataFrame, least: int = 100) -> DataFrame:
     found = keyed.select("k", "text").mapInArrow(lambda b: _scan(b, least), "k long, s long, c int, h long")
     twice = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     lists = twice.groupBy("k").agg(F.collect_list(F.struct("s", "c", "h")).alias("a"))
-    cut = keyed.select("k", "text").join(lists, "k").select("k", "text", "a").mapInArrow(lambda b: _contexts(b, least), "h long, k long, s long, ctx binary, e long, of_k long")
+    cut = keyed.join(lists, "k").select("k", "text", "a").mapInArrow(lambda b: _contexts(b, least), "h long, k long, s long, ctx binary, e long, of_k long")
     dealt = cut.repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(lambda b: _groups(b, least), "h long, gid long, parent long, k long, s long, e long, first boolean")
 
@@ -292,7 +292,9 @@ def maximal_repeats(keyed: DataFrame, least: int = 100) -> DataFrame:
 def cut_repeats(docs: DataFrame, least: int = 100, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes, if asked) of every row."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    keyed = order_key(docs, scratch)
+    keyed, plain = order_key(docs, scratch)
+    if plain:  # with the same columns in both joins the texts are dealt out once
+        keyed = keyed.select("k", "text")
     spans = maximal_repeats(keyed, least).where("NOT first").groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = keyed.join(spans, "k", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
@@ -322,7 +324,7 @@ def cut_repeats(docs: DataFrame, least: int = 100, keep_text: bool = False) -> D
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return rows.select(F.col("k" if plain else "doc_id").alias("doc_id"), "text", "spans").mapInArrow(cut, schema)
 
 
 def op2_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
