@@ -288,6 +288,20 @@ def joined(docs: DataFrame, num: int = 75, den: int = 100, words: int = 5, scrat
     return out.join(ids, "k").join(ids.select(F.col("k").alias("component"), F.col("doc_id").alias("component_id")), "component").select("k", "doc_id", "n_shingles", "component", "component_id")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, of each component the first row (the least doc_id; null ids last)."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    n, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    if n == ids and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = joined(docs, scratch=scratch).where("component <> k").select("doc_id")
+        return docs.join(scratch.write(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    # rows without an id of their own are numbered first, in the order of (doc_id, text)
+    order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256)]
+    rows = scratch.write(docs.orderBy(*order).withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    gone = joined(rows.select(F.col("_n").alias("doc_id"), "text"), scratch=scratch).where("component <> k").select(F.col("doc_id").alias("_n"))
+    return rows.join(gone, "_n", "left_anti").select(*docs.columns)
+
+
 def op4_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over whole ``documents``."""
     return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

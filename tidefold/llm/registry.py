@@ -15,6 +15,7 @@ from .repeats import op2_repeat_intervals
 from .robust import op1_robust_outliers
 from .surrogates import op8_surrogate_pii
 from .tokens import op5_token_counts
+from .vectors import op6_flat_graph_neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_robust_outliers": op1_robust_outliers,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_attention_quality": op3_attention_quality,
     "op4_partition_jaccard": op4_partition_jaccard,
     "op5_token_counts": op5_token_counts,
+    "op6_flat_graph_neardup": op6_flat_graph_neardup,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_surrogate_pii": op8_surrogate_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
