@@ -39,8 +39,8 @@ def key_part(value: Column, kind: str = "string", key_type: str | None = None, n
 
 
 def _escaped(json: Column) -> Column:
-    for plain, code in (("<", r"\\u003c"), (">", r"\\u003e"), ("&", r"\\u0026"), (" ", r"\\u2028"), (" ", r"\\u2029")):
-        json = F.regexp_replace(json, plain, code.replace("\\\\", "\\\\\\\\"))
+    for c in "<>&\u2028\u2029":
+        json = F.replace(json, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     return json
 
 
@@ -53,8 +53,9 @@ def composite_key(parts: list[Column]) -> Column:
 
 
 def composite_key_binary(parts: list[Column]) -> Column:
-    sound = reduce(lambda a, b: a & b, [F.is_valid_utf8(F.decode(p, "UTF-8")) & (F.encode(F.decode(p, "UTF-8"), "UTF-8") == p) for p in parts])
-    return F.when(sound, composite_key([F.decode(p, "UTF-8") for p in parts])).otherwise(F.concat(F.lit("b64:"), F.concat_ws(".", *(F.base64(p) for p in parts))))
+    texts = [p.cast("string") for p in parts]
+    sound = reduce(lambda a, b: a & b, [F.is_valid_utf8(t) for t in texts])
+    return F.when(sound, composite_key(texts)).otherwise(F.concat(F.lit("b64:"), F.concat_ws(".", *(F.base64(p) for p in parts))))
 
 
 def decode_composite(key: Column, arity: int) -> Column:

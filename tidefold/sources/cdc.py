@@ -74,7 +74,7 @@ def rendered(columns: list[tuple[str, T.DataType]], json_columns: list[str] = ()
         else:
             quoted = F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"^\{\"v\":(.*)\}$", 1)
             value = F.when(F.expr(f"try_parse_json({prefix}{name}) IS NOT NULL"), c).otherwise(quoted) if name in json_columns else quoted
-        parts.append(F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null"))))
+        parts.append(F.concat(F.lit(f'"{name}":'), F.when(c.isNull(), "null").otherwise(value)))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
