@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix, order_key, slices, spans_hash, table, utf8
+from .common import Scratch, components, fits, mix, order_key, slices, spans_hash, table, utf8
 
 INDEX, OWN, LOWER, RESERVE, COPY, DOC = 1, 2, 4, 8, 64, 128
 #: Groups with more components than this are priced out.
@@ -297,9 +297,10 @@ def kept(docs: DataFrame) -> DataFrame:
         return docs.join(scratch.write(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
     # rows without an id of their own are numbered first, in the order of (doc_id, text)
     order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256)]
-    rows = scratch.write(docs.orderBy(*order).withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    gone = joined(rows.select(F.col("_n").alias("doc_id"), "text"), scratch=scratch).where("component <> k").select(F.col("doc_id").alias("_n"))
-    return rows.join(gone, "_n", "left_anti").select(*docs.columns)
+    n = fits(docs.columns, "_n")
+    rows = scratch.write(docs.orderBy(*order).withColumn(n, F.monotonically_increasing_id()), "numbered")
+    gone = joined(rows.select(F.col(n).alias("doc_id"), "text"), scratch=scratch).where("component <> k").select(F.col("doc_id").alias(n))
+    return rows.join(gone, n, "left_anti").select(*docs.columns)
 
 
 def op4_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

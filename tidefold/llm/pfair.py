@@ -88,14 +88,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "pfair")
     names = docs.columns
     n_block, n_slot, n_pos = (fits(names, c) for c in ("mix_block", "mix_slot", "mix_position"))
-    src, rnd, part, row = (fits(names, c) for c in ("_src", "_rnd", "_part", "_row"))
+    src, rnd, part, row, size, ahead, lo, hi, share, start, q_, slots = (fits(names, f"_mix_{c}") for c in "src rnd part row size ahead from to share start q slots".split())
     keyed = docs.withColumn(src, F.coalesce(F.col("source").cast("string"), F.lit(NONE))).withColumn(rnd, F.xxhash64(F.lit(seed), "doc_id", "source"))
     # sorted by (source, hash, id) over many partitions, so a hot source is spread; the place in a
     # source is the place in a partition plus what earlier partitions hold of that source
     dealt = keyed.repartitionByRange(F.col(src), F.col(rnd), F.col("doc_id")).withColumn(part, F.spark_partition_id())
     dealt = scratch.write(dealt.sortWithinPartitions(src, rnd, "doc_id"), "dealt")
-    per = dealt.groupBy(src, part).agg(F.count("*").alias("_n"))
-    ahead = per.select(src, part, (F.sum("_n").over(Window.partitionBy(src).orderBy(part)) - F.col("_n")).alias("_ahead"))
+    per = dealt.groupBy(src, part).agg(F.count("*").alias(size))
+    before = per.select(src, part, (F.sum(size).over(Window.partitionBy(src).orderBy(part)) - F.col(size)).alias(ahead))
     counts = {r[0]: r[1] for r in dealt.groupBy(src).count().orderBy(src).limit(most_sources + 1).collect()}
     if len(counts) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -104,16 +104,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     least = min([w for w in weights.values() if w > 0], default=1.0)
     given = {s: max(float(weights.get(s, least)), least * 1e-6) for s in counts}
     phases = plan({s: -(-n // block_docs) for s, n in counts.items()}, given, q)
-    table_ = [(i, s, p["first"][s], p["first"][s] + p["periods"] * k, k, p["start"], p["q"], p["slots"][s]) for i, p in enumerate(phases) for s, k in p["k"].items()]
-    sched = spark.createDataFrame(table_, f"_phase int, {src} string, _from long, _to long, _k long, _start long, _q long, _slots array<int>")
-    if sum(len(r[7]) for r in table_) <= 200_000:  # about a MB
+    rows = [(s, p["first"][s], p["first"][s] + p["periods"] * k, k, p["start"], p["q"], p["slots"][s]) for p in phases for s, k in p["k"].items()]
+    sched = spark.createDataFrame(rows, f"{src} string, {lo} long, {hi} long, {share} long, {start} long, {q_} long, {slots} array<int>")
+    if sum(len(r[6]) for r in rows) <= 200_000:  # about a MB
         sched = F.broadcast(sched)
     order = Window.partitionBy(src, part).orderBy(rnd, "doc_id")
-    placed = dealt.withColumn(row, F.row_number().over(order) - 1).join(ahead, [src, part])
-    placed = placed.withColumn(row, (F.col(row) + F.col("_ahead")).cast("long")).withColumn(n_block, F.floor(F.col(row) / block_docs))
-    hit = placed.join(sched, [src]).where((F.col(n_block) >= F.col("_from")) & (F.col(n_block) < F.col("_to")))
-    j = F.col(n_block) - F.col("_from")
-    slot = F.col("_start") + F.floor(j / F.col("_k")) * F.col("_q") + F.element_at("_slots", (j % F.col("_k") + 1).cast("int"))
+    placed = dealt.withColumn(row, F.row_number().over(order) - 1).join(before, [src, part])
+    placed = placed.withColumn(row, (F.col(row) + F.col(ahead)).cast("long")).withColumn(n_block, F.floor(F.col(row) / block_docs))
+    hit = placed.join(sched, [src]).where((F.col(n_block) >= F.col(lo)) & (F.col(n_block) < F.col(hi)))
+    j = F.col(n_block) - F.col(lo)
+    slot = F.col(start) + F.floor(j / F.col(share)) * F.col(q_) + F.element_at(slots, (j % F.col(share) + 1).cast("int"))
     out = hit.withColumn(n_slot, slot.cast("long")).withColumn(n_pos, F.col(n_slot) * block_docs + F.col(row) % block_docs)
     return out.select(*names, n_block, n_slot, n_pos)
 

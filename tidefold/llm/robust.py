@@ -30,6 +30,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Least scale of each statistic, in thousandths of its unit.
 FLOOR = (250, 60, 400, 400, 500)
 H, LEAST, STEPS, TAIL = 0.75, 60, 4, 1e-7
+#: Models are broadcast for up to so many groups (some 300 bytes each), else joined by a shuffle.
+MOST_BROADCAST = 10_000
 P = len(FLOOR)
 MOMENTS = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -144,8 +146,12 @@ def _bucket(d: str) -> Column:
     return F.floor(F.log(F.col(d) + 1e-6) * 64).cast("int")
 
 
-def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """A model (mean, factor) for each group ``g`` of ``rows`` (g, x0..x4)."""
+def _small(model: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(model) if few else model
+
+
+def estimate(rows: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
+    """A model (mean, factor) for each group ``g`` of ``rows`` (g, x0..x4); few: the groups are few enough to broadcast."""
     rows = rows.select("g", *(f"x{i}" for i in range(P)))
     plain = rows.groupBy("g").agg(*_sums("b", F.lit(True)), *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"t{i}") for i in range(P)))
     zero = {(i, j): (F.pow((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, F.lit(2.0)) + float(FLOOR[i] ** 2)) if i == j else F.lit(0.0) for i, j in MOMENTS}
@@ -153,7 +159,7 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
     keep = lambda tags: ["g", *(c for t in tags for c in [f"det{t}", *(f"m{t}{i}" for i in range(P)), *(f"l{t}{i}{j}" for i, j in MOMENTS)])]
     model = scratch.write(start.select(*keep("ab")), "start")
     for _ in range(STEPS):
-        far = rows.join(model, "g")
+        far = rows.join(_small(model, few), "g")
         for t in "ab":
             far = _distance(far, t).withColumn(f"k{t}", _bucket(f"d{t}"))
         far = far.select("g", *(f"x{i}" for i in range(P)), "ka", "kb")
@@ -161,13 +167,13 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
         # the least bucket up to which a share H of the group lies; a group has a few thousand buckets at most
         upto = counts.selectExpr("g", "t", "k", "sum(count) OVER (PARTITION BY g, t ORDER BY k) AS c", "sum(count) OVER (PARTITION BY g, t) AS n")
         cut = upto.where(F.col("c") >= H * F.col("n")).groupBy("g").agg(F.min(F.when(F.col("t") == "a", F.col("k"))).alias("ca"), F.min(F.when(F.col("t") == "b", F.col("k"))).alias("cb"))
-        near = far.join(cut, "g").groupBy("g").agg(*_sums("a", F.col("ka") <= F.col("ca")), *_sums("b", F.col("kb") <= F.col("cb")))
+        near = far.join(_small(cut, few), "g").groupBy("g").agg(*_sums("a", F.col("ka") <= F.col("ca")), *_sums("b", F.col("kb") <= F.col("cb")))
         model = scratch.write(_model(_model(near, "a"), "b").select(*keep("ab")), "step")
     better = F.col("deta") <= F.col("detb")
     pick = lambda c: F.when(better, F.col(c.replace("#", "a"))).otherwise(F.col(c.replace("#", "b"))).alias(c.replace("#", "c"))
     best = model.select("g", *(pick(f"m#{i}") for i in range(P)), *(pick(f"l#{i}{j}") for i, j in MOMENTS))
     inside = F.col("dc") <= chi2_quantile(0.975, P) * consistency(H)
-    sums = _distance(rows.join(best, "g"), "c").groupBy("g").agg(*_sums("r", inside), F.count("*").alias("n_all"))
+    sums = _distance(rows.join(_small(best, few), "g"), "c").groupBy("g").agg(*_sums("r", inside), F.count("*").alias("n_all"))
     out = _model(sums, "r", consistency(0.975))
     return scratch.write(out.select("g", "n_all", "nr", *(f"mr{i}" for i in range(P)), *(f"lr{i}{j}" for i, j in MOMENTS)), "model")
 
@@ -177,8 +183,9 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "robust")
     rows = scratch.write(vectors(statistics(docs)), "stats")
     rows = grouped(rows)
-    model = estimate(rows.where(~F.col("base_failed")), scratch)
-    out = _distance(rows.join(model, "g", "left"), "r")
+    few = rows.select("g").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    model = estimate(rows.where(~F.col("base_failed")), scratch, few)
+    out = _distance(rows.join(_small(model, few), "g", "left"), "r")
     d = F.when(F.col("n_all") >= LEAST, F.col("dr"))
     ok = ~F.col("base_failed") & F.coalesce(d <= chi2_quantile(1 - tail, P), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ok.alias("kept"), d.alias("distance2"))

@@ -245,14 +245,14 @@ def recall(rows: DataFrame, links: DataFrame, threshold: float = 0.98, every: in
     def brute(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, y = _unit(left["embedding"].to_list()), _unit(right["embedding"].to_list())
-            ids = right["vec_id"].to_numpy()
+            x, y = _unit(left["embedding"].to_list()), _unit(right["other"].to_list())
+            ids = right["other_id"].to_numpy()
             for v, s in zip(left["vec_id"], x @ y.T, strict=True):
                 out += [(v, w) for w in ids[s >= threshold] if w != v]
         return pd.DataFrame(out, columns=["q", "v"]).astype("int64")
 
-    blocks = ok.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    true = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).groupBy("label", "block").cogroup(blocks.groupBy("label", "block")).applyInPandas(brute, "q long, v long")
+    blocks = ok.select(F.col("label").alias("l"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("b"), F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
+    true = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).groupBy("label", F.col("block").cast("long").alias("block")).cogroup(blocks.groupBy("l", "b")).applyInPandas(brute, "q long, v long")
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     n = true.count()
     return 1.0 if not n else true.join(both, (F.col("q") == F.col("a")) & (F.col("v") == F.col("b")), "left_semi").count() / n
