@@ -52,8 +52,8 @@ FINDER = regex.compile(
     rf"|(?:\b(?P<title>{_TITLE})\.?\s(?P<name>\p{{Lu}}[\p{{L}}'’\-]+(?:\s\p{{Lu}}[\p{{L}}'’\-]+){{0,2}}))"
 )
 KINDS = ("email", "aws", "token", "secret", "ipv4", "ssn", "card", "phone", "name")
-#: What every text with an entity has, as a pattern for the JVM.
-QUICK = rf"@|\d{{2}}|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_\-]?key)|(?:ghp|gho|ghs|sk|pk|xox[abp])[_\-]|\b(?:{_TITLE})\b"
+#: What every text with an entity has, as a pattern for the JVM; each alternative begins with few letters.
+QUICK = rf"[@=:_]|\p{{Nd}}{{2}}|A[KS]IA|-[0-9A-Za-z_\-]{{16}}|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})[.\s]"
 
 
 def found(text: str) -> list[tuple[int, int, str, str]]:
