@@ -11,10 +11,10 @@ H or below is R still compared within them; so no pair is lost. A set whose valu
 compared by all its shingles (``_rest``), which is exact as well.
 
 1. one pass makes the signatures; texts equal to an earlier one in the same task become copies of it;
-2. signatures met once are dropped by a spilling window; a chain of candidates in each signature's
-   group is verified on the words of the texts, and verified links form first components;
-3. only groups with several components are left to compare, across components; these candidates are
-   verified, too, and the components joined.
+2. signatures met once are dropped by a spilling window; in each signature's group neighbours of
+   different components are candidates; those verified on the words of the texts join components;
+3. what is left to compare are groups with several components, across components. A pair is verified
+   if the values it was found by exceed what H differences leave at least; then components are joined.
 
 Verification compares the sets of word tuples themselves. Links are never gathered on the driver.
 
@@ -40,6 +40,8 @@ from .common import Scratch, components, fits, mix, order_key, slices, spans_has
 INDEX, OWN, LOWER, RESERVE, COPY, DOC = 1, 2, 4, 8, 64, 128
 #: Groups with more components than this are priced out.
 HOT = 24
+#: Rounds of step 2 at most; they only make step 3 shorter.
+MOST_ROUNDS = 5
 REMEMBERED = 400_000
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -228,28 +230,41 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     members = rows.select("k").distinct()
     texts = scratch.write(keyed.select("k", "text").join(members, "k", "left_semi"), "texts")
     scratch.reclaim()
-    # step 2: neighbours in each signature's group
-    line = Window.partitionBy("h").orderBy("k")
-    chain = rows.withColumns({"b": F.lag("k").over(line), "m": F.lag("n").over(line)}).where((F.col("b") < F.col("k")) & near(F.col("n"), F.col("m"))).select(F.col("k").alias("a"), "b").distinct()
-    first = scratch.write(verified(chain, texts, num, den, words), "links")
-    comp = scratch.write(components(first, scratch), "components")
-    scratch.reclaim()
-    # step 3: groups in which several components meet
-    told = rows.join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    mixed = told.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    left = scratch.write(told.join(mixed, "h").select("h", "k", "x", "n", "c"), "left")
-    several = left.select("h", "c").distinct().groupBy("h").agg((F.count("*") > HOT).alias("hot"))
-    left = scratch.write(left.join(several, "h"), "priced")
-    lost = left.where("hot").groupBy("k").agg(
-        F.sum(F.when(_flag(OWN), F.when(_flag(RESERVE), 2).otherwise(1)).otherwise(0)).alias("lost_own"),
-        F.sum(F.when(_flag(LOWER), F.when(_flag(RESERVE), 2).otherwise(1)).otherwise(0)).alias("lost_lower"),
-    )
-    poor = lost.join(docs, "k").select("k", (F.col("lost_own") > F.col("own")).alias("short_own"), (F.col("lost_lower") > F.col("lower")).alias("short_lower")).where("short_own OR short_lower")
-    seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c")
-    hot_seek = left.where("hot").join(poor, "k").where((_flag(OWN) & F.col("short_own")) | (_flag(LOWER) & F.col("short_lower"))).select("h", "k", "n", "c")
+    value = F.when(_flag(RESERVE), 2).otherwise(1)
+    # step 2: neighbours in each signature's group, often enough neighbours to be likely, until no more are found
+    told, first = rows.withColumn("c", F.col("k")), None
+    for _ in range(MOST_ROUNDS):
+        line = Window.partitionBy("h").orderBy("c", "k")
+        chain = told.withColumns({"b": F.lag("k").over(line), "d": F.lag("c").over(line), "m": F.lag("n").over(line)})
+        chain = chain.where((F.col("d") != F.col("c")) & near(F.col("n"), F.col("m"))).groupBy(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).agg(F.count("*").alias("seen"), F.min(F.least("n", "m")).alias("n"))
+        new = scratch.write(verified(chain.where("32 * seen >= n").select("a", "b"), texts, num, den, words), "links")
+        some = new.limit(1).count() > 0
+        if first is None or some:
+            first = new if first is None else scratch.write(first.unionByName(new), "links")
+            comp = scratch.write(components(first, scratch), "components")
+            told = rows.join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+            mixed = told.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+            told = scratch.write(told.join(mixed, "h").select("h", "k", "x", "n", "c"), "told")
+        scratch.reclaim()
+        if not some:
+            break
+    # step 3: groups in which several components meet; ``told`` has no others
+    several = told.select("h", "c").distinct().groupBy("h").agg((F.count("*") > HOT).alias("hot"))
+    left = scratch.write(told.join(several, "h"), "priced")
+    taken = lambda bit: F.sum(F.when(_flag(bit), value).otherwise(0))
+    lost = left.where("hot").groupBy("k").agg(taken(OWN).alias("lost_own"), taken(LOWER).alias("lost_lower"))
+    room = docs.where("of IS NULL").select("k", "own", "lower").join(lost, "k", "left").na.fill(0, ["lost_own", "lost_lower"])
+    room = scratch.write(room.select("k", "own", "lower", "lost_own", "lost_lower", (F.col("lost_own") > F.col("own")).alias("short_own"), (F.col("lost_lower") > F.col("lower")).alias("short_lower")), "room")
+    probe = lambda df: df.select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"))
+    seek = probe(left.where("NOT hot").where(_flag(OWN | LOWER)))
+    poor = room.where("lost_own > 0 AND short_own OR lost_lower > 0 AND short_lower").select("k", "short_own", "short_lower")
+    hot_seek = probe(left.where("hot").join(poor, "k").where((_flag(OWN) & F.col("short_own")) | (_flag(LOWER) & F.col("short_lower"))))
     held = left.where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = seek.unionByName(hot_seek).join(held, "h").where((F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
-    pairs = pairs.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
+    met = seek.unionByName(hot_seek).join(held, "h").where((F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
+    # a difference takes at most one from the values found, so a similar pair keeps more than the room
+    found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low")).join(room, "k")
+    bar = F.when(F.col("low"), F.col("lower") - F.when(F.col("short_lower"), 0).otherwise(F.col("lost_lower"))).otherwise(F.col("own") - F.when(F.col("short_own"), 0).otherwise(F.col("lost_own")))
+    pairs = found.where(F.col("found") > bar).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
     second = scratch.write(verified(pairs, texts, num, den, words), "links")
     out = first.unionByName(second).unionByName(copies)
     bare = docs.where("of IS NULL AND n > 0 AND (own < 0 OR lower < 0)").select("k", "n")
