@@ -293,8 +293,10 @@ def cut_repeats(docs: DataFrame, least: int = 100, keep_text: bool = False) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes, if asked) of every row."""
     scratch = Scratch(docs.sparkSession, "repeats")
     keyed, plain = order_key(docs, scratch)
-    if plain:  # with the same columns in both joins the texts are dealt out once
+    if plain:
         keyed = keyed.select("k", "text")
+    # with the same columns and filter in both joins the texts are dealt out once
+    keyed = keyed.where("k IS NOT NULL")
     spans = maximal_repeats(keyed, least).where("NOT first").groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = keyed.join(spans, "k", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
