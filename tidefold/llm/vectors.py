@@ -79,7 +79,7 @@ def shards(nodes: DataFrame, scratch: Scratch, shard_rows: int, sample_rows: int
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("k")
-            k = int(min(64, max(2, -(-2 * pdf["count"].iloc[0] // shard_rows)), len(pdf)))
+            k = int(min(64, max(2, -(-3 * pdf["count"].iloc[0] // shard_rows)), len(pdf)))
             c = centres(_unit(pdf["embedding"].to_list()), k)
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dims": [c.shape[1]], "c": [c.ravel()]})
 
@@ -213,7 +213,7 @@ def linked(nodes: DataFrame, scratch: Scratch, threshold: float, shard_rows: int
     return both.where(cosine >= threshold).select("a", "b")
 
 
-def classes(rows: DataFrame, threshold: float = 0.98, shard_rows: int = 1200, sample_rows: int = 4000, overlap: int = 4) -> DataFrame:
+def classes(rows: DataFrame, threshold: float = 0.98, shard_rows: int = 1200, sample_rows: int = 4000, overlap: int = 2) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, label, embedding)."""
     scratch = Scratch(rows.sparkSession, "vectors")
     keyed, plain = numbered(rows, scratch)
