@@ -88,14 +88,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "pfair")
     names = docs.columns
     n_block, n_slot, n_pos = (fits(names, c) for c in ("mix_block", "mix_slot", "mix_position"))
-    src, rnd, part, row, size, ahead, lo, hi, share, start, q_, slots = (fits(names, f"_mix_{c}") for c in "src rnd part row size ahead from to share start q slots".split())
+    src, rnd, part, row, size, head, ahead, lo, hi, share, start, q_, slots = (fits(names, f"_mix_{c}") for c in "src rnd part row size head ahead from to share start q slots".split())
     keyed = docs.withColumn(src, F.coalesce(F.col("source").cast("string"), F.lit(NONE))).withColumn(rnd, F.xxhash64(F.lit(seed), "doc_id", "source"))
     # sorted by (source, hash, id) over many partitions, so a hot source is spread; the place in a
     # source is the place in a partition plus what earlier partitions hold of that source
-    dealt = keyed.repartitionByRange(F.col(src), F.col(rnd), F.col("doc_id")).withColumn(part, F.spark_partition_id())
-    dealt = scratch.write(dealt.sortWithinPartitions(src, rnd, "doc_id"), "dealt")
-    per = dealt.groupBy(src, part).agg(F.count("*").alias(size))
-    before = per.select(src, part, (F.sum(size).over(Window.partitionBy(src).orderBy(part)) - F.col(size)).alias(ahead))
+    dealt = keyed.repartitionByRange(F.col(src), F.col(rnd), F.col("doc_id")).sortWithinPartitions(src, rnd, "doc_id")
+    dealt = scratch.write(dealt.withColumn(row, F.monotonically_increasing_id()), "dealt").withColumn(part, F.shiftright(row, 33))
+    per = dealt.groupBy(src, part).agg(F.count("*").alias(size), F.min(row).alias(head))
+    # written, so that the planner knows how small it is
+    before = scratch.write(per.select(src, part, head, (F.sum(size).over(Window.partitionBy(src).orderBy(part)) - F.col(size)).alias(ahead)), "before")
     counts = {r[0]: r[1] for r in dealt.groupBy(src).count().orderBy(src).limit(most_sources + 1).collect()}
     if len(counts) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -108,9 +109,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     sched = spark.createDataFrame(rows, f"{src} string, {lo} long, {hi} long, {share} long, {start} long, {q_} long, {slots} array<int>")
     if sum(len(r[6]) for r in rows) <= 200_000:  # about a MB
         sched = F.broadcast(sched)
-    order = Window.partitionBy(src, part).orderBy(rnd, "doc_id")
-    placed = dealt.withColumn(row, F.row_number().over(order) - 1).join(before, [src, part])
-    placed = placed.withColumn(row, (F.col(row) + F.col(ahead)).cast("long")).withColumn(n_block, F.floor(F.col(row) / block_docs))
+    placed = dealt.join(before, [src, part])
+    placed = placed.withColumn(row, F.col(row) - F.col(head) + F.col(ahead)).withColumn(n_block, F.floor(F.col(row) / block_docs))
     hit = placed.join(sched, [src]).where((F.col(n_block) >= F.col(lo)) & (F.col(n_block) < F.col(hi)))
     j = F.col(n_block) - F.col(lo)
     slot = F.col(start) + F.floor(j / F.col(share)) * F.col(q_) + F.element_at(slots, (j % F.col(share) + 1).cast("int"))
