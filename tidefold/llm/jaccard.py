@@ -97,6 +97,8 @@ def hashed(data: np.ndarray, offs: np.ndarray, words: int = 5) -> list[np.ndarra
 def allocation(band: int, num: int, den: int) -> tuple[int, int]:
     """(segments, reserved ones) for sizes of bit length ``band``: the fewest signatures that leave
     a margin over H for the largest sets searched with, in their own band and from the next one."""
+    if band <= 5:  # nearly a segment for each element; fewer would now and then leave a small set short
+        return 1024, 2
     hi, t = 1 << band, num / den
     f = (1 - t) / (1 + t)
     best, cost = (0, 0), math.inf
@@ -274,11 +276,13 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
 
 
 def _rest(bare: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
-    """Links of sets that the values can't guarantee: candidates share any shingle."""
+    """Links of sets that the values can't guarantee: candidates share any shingle and are of like size."""
+    least, most = bare.agg(F.min("n"), F.max("n")).first()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
             us = hashed(*utf8(part.column(1)), words)
+            us = [u if num * least <= den * len(u) and num * len(u) <= den * most else u[:0] for u in us]
             k = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(u) for u in us])
             n = np.repeat(np.array([len(u) for u in us], np.int64), [len(u) for u in us])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(np.concatenate(us).view(np.int64))], ["k", "n", "u"])
