@@ -71,13 +71,14 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(k, s, c, h) of all anchors; texts are packed into parts of about PART bytes, longer ones cut."""
+    """(k, x, h) of all anchors, x = start << 16 | number of starts, h of 48 bits (equal hashes only lead
+    to a comparison of bytes); texts are packed into parts of about PART bytes, longer ones cut."""
 
     def flush(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         offs = np.cumsum([0, *(len(p[2]) for p in parts)])
         text, s, c, h = anchors(np.concatenate([p[2] for p in parts]), offs, least)
         k, base = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k[text]), pa.array(s + base[text]), pa.array(c.astype(np.int32)), pa.array(h.view(np.int64))], ["k", "s", "c", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(k[text]), pa.array((s + base[text]) << 16 | c), pa.array((h >> np.uint64(16)).view(np.int64))], ["k", "x", "h"])
 
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
@@ -108,7 +109,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         lists = batch.column(2)
         lo = lists.offsets.to_numpy()
         item = lists.values
-        s_all, c_all, h_all = (item.field(f).to_numpy() for f in range(3))
+        x_all, h_all = (item.field(f).to_numpy() for f in range(2))
+        s_all, c_all = x_all >> 16, x_all & 0xFFFF
         for i, k in enumerate(batch.column(0).to_pylist()):
             own = slice(lo[i], lo[i + 1])
             order = np.argsort(s_all[own], kind="stable")
@@ -281,9 +283,11 @@ def maximal_repeats(keyed: DataFrame, least: int = 100) -> DataFrame:
     """Occurrences of maximal repeats of ``keyed`` (k, text): h and gid name the group within one
     task's output, parent the enclosing group, k, s, e the place, first whether it is the earliest.
     Copies of a whole context have gid -1 and in ``parent`` the k of the earlier text."""
-    found = keyed.select("k", "text").mapInArrow(lambda b: _scan(b, least), "k long, s long, c int, h long")
+    if not GRAM <= least < 1 << 16:
+        raise ValueError(f"least is from {GRAM} to 65535 bytes")
+    found = keyed.select("k", "text").mapInArrow(lambda b: _scan(b, least), "k long, x long, h long")
     twice = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    lists = twice.groupBy("k").agg(F.collect_list(F.struct("s", "c", "h")).alias("a"))
+    lists = twice.groupBy("k").agg(F.collect_list(F.struct("x", "h")).alias("a"))
     cut = keyed.join(lists, "k").select("k", "text", "a").mapInArrow(lambda b: _contexts(b, least), "h long, k long, s long, ctx binary, e long, of_k long")
     dealt = cut.repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(lambda b: _groups(b, least), "h long, gid long, parent long, k long, s long, e long, first boolean")
