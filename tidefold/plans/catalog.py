@@ -317,14 +317,14 @@ def stage_merge_left(s, d):
     return merged(s, d, [{"path": "$.bought.n", "notNull": True}])
 
 
-MARK = F.lit(5)
+MARK = 5
 
 
 def swept_events(s, d):
     """Events stamped with generation event_id % 7; a marker of generation 5 comes last."""
     df = events(s, d, generation=F.col("event_id") % 7)
     last = df.agg(F.max("idx") + 1)
-    marker = last.select(F.col(last.columns[0]).alias("idx"), F.lit(0).alias("seq"), F.lit("").alias("key"), F.lit("refresh").alias("variant"), MARK.cast("long").alias("generation"), F.lit(None).cast(df.schema["payload"].dataType).alias("payload"))
+    marker = last.select(F.col(last.columns[0]).alias("idx"), F.lit(0).alias("seq"), F.lit("").alias("key"), F.lit("refresh").alias("variant"), F.lit(MARK).cast("long").alias("generation"), F.lit(None).cast(df.schema["payload"].dataType).alias("payload"))
     return df.unionByName(marker)
 
 
@@ -336,17 +336,20 @@ def stage_refresh_sweep(s, d):
 # sinks
 
 MAPPED = {"user_id": "$.user_id", "kind": "$.event_type", "value": ("$.value", "DECIMAL(18,2)")}
-DELETED = F.when(F.col("event_id") % 10 == 7, "delete").otherwise("row")
+def deleted():
+    """Every tenth event is a tombstone."""
+    return F.when(F.col("event_id") % 10 == 7, "delete").otherwise("row")
+
 
 
 @query("SELECT user_id, event_type AS kind, CAST(value AS DECIMAL(18,2)) AS value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_id % 10 <> 7")
 def mirror_keyed(s, d):
-    return sinks.mirror(events(s, d, "user_id", DELETED), MAPPED, ["user_id"])
+    return sinks.mirror(events(s, d, "user_id", deleted()), MAPPED, ["user_id"])
 
 
 @query("SELECT event_id AS idx, CAST(0 AS INTEGER) AS seq, user_id, event_type AS kind FROM events WHERE event_id % 10 <> 7")
 def history_append(s, d):
-    df = events(s, d, variant=DELETED)
+    df = events(s, d, variant=deleted())
     return sinks.history(df.unionByName(df.where("idx % 3 = 0")), {"user_id": "$.user_id", "kind": "$.event_type"})  # delivered again in part
 
 
@@ -368,7 +371,7 @@ def mirror_refresh_sweep(s, d):
 
 def raw_log(s, d):
     df = table(s, d, "events")
-    return df.select((F.col("event_id") / 3).cast("long").alias("idx"), (F.col("event_id") % 3).cast("int").alias("seq"), F.lit("events").alias("topic"), F.col("user_id").cast("string").alias("key"), DELETED.alias("variant"), F.when(DELETED == "row", F.col("props")).alias("data"), (F.col("event_id") % 7).cast("long").alias("generation"))
+    return df.select((F.col("event_id") / 3).cast("long").alias("idx"), (F.col("event_id") % 3).cast("int").alias("seq"), F.lit("events").alias("topic"), F.col("user_id").cast("string").alias("key"), deleted().alias("variant"), F.when(deleted() == "row", F.col("props")).alias("data"), (F.col("event_id") % 7).cast("long").alias("generation"))
 
 
 @query()
@@ -423,17 +426,17 @@ LAST = [{"set": [{"column": "kind", "from": "$.event_type"}]}, {"when": [{"path"
 
 @query(f"SELECT CAST(user_id AS VARCHAR) AS user_id, arg_max(event_type, event_id) AS kind, max(event_id) FILTER (WHERE event_type = 'click') AS click FROM ({AFTER}) GROUP BY 1")
 def proj_delete_row(s, d):
-    return project(users(["kind", "click"], rules=LAST, onDelete="delete-row"), {"events": events(s, d, "user_id", DELETED)})
+    return project(users(["kind", "click"], rules=LAST, onDelete="delete-row"), {"events": events(s, d, "user_id", deleted())})
 
 
 @query(f"SELECT CAST(u.user_id AS VARCHAR) AS user_id, kind, click FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 10 <> 7) u LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) FILTER (WHERE event_type = 'click') AS click FROM ({AFTER}) GROUP BY 1) USING (user_id)")
 def proj_delete_clear(s, d):
-    return project(users(["kind", "click"], rules=LAST, onDelete="clear"), {"events": events(s, d, "user_id", DELETED)})
+    return project(users(["kind", "click"], rules=LAST, onDelete="clear"), {"events": events(s, d, "user_id", deleted())})
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, arg_max(event_type, event_id) AS kind, max(event_id) FILTER (WHERE event_type = 'click') AS click FROM events WHERE event_id % 10 <> 7 GROUP BY 1")
 def proj_delete_ignore(s, d):
-    return project(users(["kind", "click"], rules=LAST, onDelete="ignore"), {"events": events(s, d, "user_id", DELETED)})
+    return project(users(["kind", "click"], rules=LAST, onDelete="ignore"), {"events": events(s, d, "user_id", deleted())})
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, arg_max(event_type, event_id) AS kind FROM events WHERE value > 50 GROUP BY 1")
@@ -660,7 +663,7 @@ def cdc_key_change(s, d):
 @query()
 def rebuild_equals_incremental(s, d):
     """Rule folds of two halves of the log, joined afterwards, against the fold of the whole: must be empty of differences."""
-    topic = events(s, d, "user_id", DELETED)
+    topic = events(s, d, "user_id", deleted())
     spec = {"keyPath": "$.user_id", "rules": LAST, "onDelete": "delete-row"}
     write = lambda t: folded([rule_writes(t, spec, ["user_id"], 0)], ["user_id"])
     halves = [write(topic.where(c)) for c in ("idx % 2 = 0", "idx % 2 = 1")]
