@@ -18,7 +18,7 @@ from ..functions.expr import evaluate, parse
 from ..functions.keys import composite_key, key_part
 from ..functions.scope import Scope, Value, narrowed
 from ..functions.when import checked, matches
-from .log import latest
+from .log import latest, swept
 
 FIELDS = {"name", "from", "merge", "keyPath", "keyType", "normalize", "when", "deleteWhen", "reduce", "orderBy", "orderByType", "tieBy", "tieByType", "forEach", "elementKey", "join", "emit"}
 JOIN = {"topic", "from", "on", "where", "absent", "as", "optional", "normalize", "onType"}
@@ -124,10 +124,13 @@ def descending(text: Column) -> Column:
 
 
 class Graph:
-    """Compiles stages over topics (name -> DataFrame as in ``operators.log``)."""
+    """Compiles stages over topics (name -> DataFrame as in ``operators.log``).
 
-    def __init__(self, topics: dict[str, DataFrame], stages: list[dict], discriminators: dict[str, str] | None = None):
-        self.topics, self.discriminators = topics, discriminators or {}
+    unique: topics whose keys never come twice (events); their rows are the last versions as they
+    are, so no aggregation and no shuffle is needed to find them."""
+
+    def __init__(self, topics: dict[str, DataFrame], stages: list[dict], discriminators: dict[str, str] | None = None, unique: set[str] = frozenset()):
+        self.topics, self.discriminators, self.unique = topics, discriminators or {}, unique
         self.out: dict[str, DataFrame] = {}
         self.key_rules: dict[str, tuple[str | None, str | None]] = {}
         self.last: dict[str, DataFrame] = {}
@@ -138,7 +141,7 @@ class Graph:
 
     def current(self, topic: str) -> DataFrame:
         if topic not in self.last:
-            self.last[topic] = latest(self.topics[topic])
+            self.last[topic] = swept(self.topics[topic]).where(F.col("variant") == "row") if topic in self.unique else latest(self.topics[topic])
         return self.last[topic]
 
     def inputs(self, s: dict) -> DataFrame:

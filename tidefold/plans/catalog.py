@@ -57,8 +57,8 @@ def lines(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
-def staged(topics: dict[str, DataFrame], *stages: dict) -> DataFrame:
-    return flat(Graph(topics, list(stages)).out[stages[-1]["name"]])
+def staged(topics: dict[str, DataFrame], *stages: dict, unique: set[str] = frozenset()) -> DataFrame:
+    return flat(Graph(topics, list(stages), unique=unique).out[stages[-1]["name"]])
 
 
 def scope_of(df: DataFrame) -> Scope:
@@ -160,7 +160,7 @@ EV = {"from": "events", "keyPath": "$.event_type"}
 
 @query("SELECT event_type AS key, CAST(arg_max(event_id, CAST(event_id AS VARCHAR)) AS BIGINT) AS id, arg_max(user_id, CAST(event_id AS VARCHAR)) AS usr FROM events GROUP BY 1")
 def stage_reshape(s, d):
-    return staged({"events": events(s, d)}, {**EV, "name": "r", "emit": [{"field": "id", "from": "$.event_id"}, {"field": "usr", "from": "$.user_id"}]})
+    return staged({"events": events(s, d)}, {**EV, "name": "r", "emit": [{"field": "id", "from": "$.event_id"}, {"field": "usr", "from": "$.user_id"}]}, unique={"events"})
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'view'")
@@ -175,7 +175,7 @@ def stage_rekey(s, d):
 
 @query("SELECT event_type AS key, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events GROUP BY 1")
 def stage_agg_sum(s, d):
-    return staged({"events": events(s, d)}, {**EV, "name": "a", "reduce": "aggregate", "emit": [{"field": "total", "sum": "$.value"}]})
+    return staged({"events": events(s, d)}, {**EV, "name": "a", "reduce": "aggregate", "emit": [{"field": "total", "sum": "$.value"}]}, unique={"events"})
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS n FROM orders GROUP BY 1")
@@ -199,12 +199,12 @@ def stage_agg_collect(s, d):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS xs FROM events GROUP BY 1")
 def stage_agg_collect_distinct(s, d):
-    return joined_text(staged({"events": events(s, d)}, {"name": "a", "from": "events", "keyPath": "$.user_id", "reduce": "aggregate", "emit": [{"field": "xs", "collect": "$.event_type", "distinct": True}]}), "xs")
+    return joined_text(staged({"events": events(s, d)}, {"name": "a", "from": "events", "keyPath": "$.user_id", "reduce": "aggregate", "emit": [{"field": "xs", "collect": "$.event_type", "distinct": True}]}, unique={"events"}), "xs")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) FILTER (WHERE event_type = 'click') AS clicks, sum(CAST(value AS DECIMAL(18,6))) FILTER (WHERE event_type = 'purchase') AS spent FROM events GROUP BY 1")
 def stage_agg_filter(s, d):
-    return staged({"events": events(s, d)}, {"name": "a", "from": "events", "keyPath": "$.user_id", "reduce": "aggregate", "emit": [{"field": "clicks", "count": True, "where": [{"path": "$.event_type", "equals": "click"}]}, {"field": "spent", "sum": "$.value", "where": [{"path": "$.event_type", "equals": "purchase"}]}]})
+    return staged({"events": events(s, d)}, {"name": "a", "from": "events", "keyPath": "$.user_id", "reduce": "aggregate", "emit": [{"field": "clicks", "count": True, "where": [{"path": "$.event_type", "equals": "click"}]}, {"field": "spent", "sum": "$.value", "where": [{"path": "$.event_type", "equals": "purchase"}]}]}, unique={"events"})
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey AS ord, o_orderstatus AS st FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) = 1")
@@ -214,7 +214,7 @@ def stage_latest(s, d):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, CAST(event_id AS VARCHAR)) AS kind FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') = 0")
 def stage_liveset(s, d):
-    return staged({"events": events(s, d)}, {"name": "v", "from": "events", "keyPath": "$.user_id", "reduce": "liveSet", "deleteWhen": [{"path": "$.event_type", "equals": "error"}], "emit": [{"field": "kind", "from": "$.event_type"}]})
+    return staged({"events": events(s, d)}, {"name": "v", "from": "events", "keyPath": "$.user_id", "reduce": "liveSet", "deleteWhen": [{"path": "$.event_type", "equals": "error"}], "emit": [{"field": "kind", "from": "$.event_type"}]}, unique={"events"})
 
 
 def baskets(s, d):
@@ -299,7 +299,7 @@ SIDES_SQL = "(SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS b FROM order
 
 def merged(s, d, when=None):
     m = {"name": "m", "merge": ["bought", "seen"], "emit": [{"field": "b", "from": "$.bought.n"}, {"field": "e", "from": "$.seen.n"}]}
-    return staged({"orders": orders(s, d), "events": events(s, d)}, *SIDES, m | ({"when": when} if when else {}))
+    return staged({"orders": orders(s, d), "events": events(s, d)}, *SIDES, m | ({"when": when} if when else {}), unique={"events"})
 
 
 @query(f"SELECT key, b, e FROM {SIDES_SQL.format('FULL')}")
