@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,9 +50,12 @@ class Scratch:
         return out
 
     def reclaim(self) -> None:
-        """Let Spark remove the shuffle files of finished steps, which it does when their plans are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark remove the shuffle files of finished steps, which it does when their plans are
+        collected; the listeners hold the last plan for a moment longer than its job runs."""
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.5)
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
