@@ -1,6 +1,6 @@
 """Op 8, personal data replaced by keyed, type-consistent surrogates.
 
-Found are mail addresses, phone numbers, IPv4 addresses, payment card numbers, national id numbers,
+Found are mail addresses, phone numbers, IPv4 addresses, payment card numbers (by check digit), national ids,
 access keys and secrets, and names after a title. Each distinct entity (in its normal form) gets one
 surrogate from HMAC-SHA256 of a key, so all its mentions in all texts agree. Surrogates keep the type:
 lengths, digit and letter classes, case, script and separators, a card's check digit, an address's
@@ -69,6 +69,8 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
             norm = raw.lower()
         elif kind in ("phone", "card", "ssn"):
             norm = "".join(c for c in raw if c.isdigit())
+            if kind == "card" and not luhn(norm):
+                continue  # some other long number
         elif kind == "name":
             norm = _TITLES[m["title"].lower()] + " " + " ".join(raw.split()).casefold()
         else:
@@ -139,10 +141,10 @@ def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
     if kind == "ipv4":
         first = 1 + d.below(223)
         return ".".join(str(x) for x in (first + (first == 127), d.below(256), d.below(256), 1 + d.below(254)))
-    if kind == "card":
+    if kind == "card":  # found ones have a right check digit
         body = norm[0] + "".join(str(d.below(10)) for _ in norm[2:])
         good = next(str(c) for c in range(10) if luhn(body + str(c)))
-        return body + (good if luhn(norm) else str((int(good) + 1 + d.below(9)) % 10))
+        return body + good
     if kind == "phone":
         country = norm[:-10] if len(norm) > 10 else ""
         return country + str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in norm[len(country) + 1 :])
