@@ -290,7 +290,7 @@ def near_texts(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize("seed,hot", [(0, 24), (1, 2)])
+@pytest.mark.parametrize("seed,hot", [(0, 8), (1, 1)])
 def test_near_duplicates_are_all_joined(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
     texts = near_texts(seed)

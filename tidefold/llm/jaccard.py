@@ -5,7 +5,7 @@ The universe of shingle hashes is dealt into m segments, m by size band (sizes o
 set R gives each segment a value: 1 if it is searched for equal, 2 if also for one element more or
 less (one-deletion neighbourhoods, kept for the ``RESERVE`` first segments). If the values sum to more
 than H, some searched segment matches. m and the reserve come from ``allocation``, which takes the
-fewest signatures that leave room over H. Signatures that very many groups share (a passage in a
+fewest signatures that leave room over H. Signatures with many pairs of unlike texts for each member (a passage in a
 great many texts) are priced out: their value is taken from R, and only where R's sum then falls to
 H or below is R still compared within them; so no pair is lost. A set whose values never exceed H is
 compared by all its shingles (``_rest``), which is exact as well.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, fits, mix, order_key, slices, spans_hash, table, utf8
 
 INDEX, OWN, LOWER, RESERVE, COPY, DOC = 1, 2, 4, 8, 64, 128
-#: Groups with more components than this are priced out.
-HOT = 24
+#: Groups with more pairs across components than so many for each member are priced out.
+HOT = 8
 #: Rounds of step 2 at most; they only make step 3 shorter.
 MOST_ROUNDS = 5
 REMEMBERED = 400_000
@@ -251,7 +251,10 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
         if not some:
             break
     # step 3: groups in which several components meet; ``told`` has no others
-    several = told.select("h", "c").distinct().groupBy("h").agg((F.count("*") > HOT).alias("hot"))
+    # a group's cost is its pairs across components; above HOT for each member it is priced out, so what
+    # the join below makes is in proportion to the rows that it reads
+    sizes = told.groupBy("h", "c").agg(F.count("*").cast("double").alias("g"))
+    several = sizes.groupBy("h").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).select("h", (F.col("g") * F.col("g") - F.col("q") > HOT * F.col("g")).alias("hot"))
     left = scratch.write(told.join(several, "h"), "priced")
     taken = lambda bit: F.sum(F.when(_flag(bit), value).otherwise(0))
     lost = left.where("hot").groupBy("k").agg(taken(OWN).alias("lost_own"), taken(LOWER).alias("lost_lower"))
