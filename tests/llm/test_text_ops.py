@@ -390,6 +390,47 @@ def test_mixing_places_every_row_once(spark):
     assert pfair.mix_sources(docs(spark, [])).count() == 0 and pfair.mix_sources(docs(spark, ODD, ODD_IDS)).count() == len(ODD)
 
 
+def fluid(blocks, weights):
+    """Each source's target at every slot by brute force: the weights of those that have blocks left, scaled to 1."""
+    left, v = {s: float(n) for s, n in blocks.items()}, [dict.fromkeys(blocks, 0.0)]
+    for _ in range(sum(blocks.values())):
+        room, now = 1.0, dict(v[-1])
+        while room > 1e-12 and any(x > 1e-9 for x in left.values()):
+            on = [s for s, x in left.items() if x > 1e-9]
+            w = sum(weights[s] for s in on)
+            step = min(room, min(left[s] * w / weights[s] for s in on))
+            for s in on:
+                now[s] += step * weights[s] / w
+                left[s] -= step * weights[s] / w
+            room -= step
+        v.append(now)
+    return v
+
+
+@pytest.mark.parametrize("n_sources, hot", [(20, 5000), (100, 2000), (1200, 600)])
+def test_every_prefix_of_a_long_run_is_less_than_a_block_off_its_target(n_sources, hot):
+    rng = random.Random(n_sources)
+    blocks = {"hot": hot, **{f"s{i}": max(1, int(2 * hot / n_sources * rng.uniform(0.5, 1.5))) for i in range(n_sources - 1)}}
+    weights = {s: n**0.7 for s, n in blocks.items()}
+    slots = pfair.schedule(blocks, weights)
+    assert sorted(x for own in slots.values() for x in own) == list(range(sum(blocks.values())))
+    owner = {x: s for s, own in slots.items() for x in own}
+    done = dict.fromkeys(blocks, 0)
+    for t, want in enumerate(fluid(blocks, weights)[1:]):
+        done[owner[t]] += 1
+        assert all(abs(done[s] - want[s]) < 1 + 1e-6 for s in blocks)
+    assert pfair.schedule({"a": 0, "b": 3}, {"a": 1.0, "b": 1e-9}) == {"b": pfair.array("q", [0, 1, 2])} and pfair.schedule({}, {}) == {}
+
+
+def test_mixing_follows_the_target_weights(spark):
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 1100).cast("string"))).alias("source"))
+    rows = pfair.mix_sources(df, block_docs=2).collect()
+    assert len({r.mix_position for r in rows}) == len(rows) == 12_000
+    counts = Counter(r.source for r in rows)
+    share = counts["hot"] ** 0.7 / sum(n**0.7 for n in counts.values())
+    assert abs(len({r.mix_slot for r in rows if r.source == "hot" and r.mix_slot < 1000}) - 1000 * share) < 1
+
+
 # op 8
 
 
