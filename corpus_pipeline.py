@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs``; all but the last return
 the columns of ``documents``. ``run`` applies them to ``documents``; between stages the rows are written
-to the shared scratch folder and read again.
+to the shared scratch folder and read again. The mixing stage's order goes from it to packing as the order
+of the files' numbers and of the rows in each file.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 9: pieces with their sequences and offsets."""
-    return packing.pack_documents(docs, vocabulary_path())
+    """Op 9: pieces with their sequences and offsets; sequence_id follows the mix order, which the files hold."""
+    file = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    placed = docs.withColumn("position", F.shiftleft(file, 36) + F.col("_metadata.row_index"))
+    return packing.pack_documents(placed, vocabulary_path(), order="position")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", pack)]

@@ -1,5 +1,7 @@
 """Embeddings against brute force, components, and the pipeline's stages."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +93,31 @@ def test_stage_decisions(stages):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma.", "Δ"]) for _ in range(rng.choice([5, 30, 90, 400]))) for _ in range(6000)]
+    source = ["hot" if i < 4000 else f"s{i % 20}" for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en", source[i], len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixing(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    rows = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).orderBy("sequence_id", "offset").collect()
+    assert {(r.doc_id, r.piece) for r in rows} >= {(i, 0) for i in range(6000)} and len(rows) == len({(r.doc_id, r.piece) for r in rows})
+    fill = {}
+    for r in rows:
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 2
+    share = 4000**0.7 / (4000**0.7 + 20 * 100**0.7)
+    seen = list(dict.fromkeys(r.doc_id for r in rows))
+    for n in (500, 1000, 1500, 2000, 3000):  # every source lasts for so long
+        got = sum(source[d] == "hot" for d in seen[:n]) / n
+        assert abs(got - share) < 0.03 < abs(4000 / 6000 - share), n
+
+
 def test_pipeline_of_no_rows(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))

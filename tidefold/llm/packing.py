@@ -7,6 +7,11 @@ of falling length and then improves the underfull bins: it moves a document, exc
 or two for one whenever that raises the sum of squared fills, until a bin runs empty or nothing helps.
 Bins that stay underfull give their documents to a second round over larger blocks.
 
+With an order given, a task takes a stretch of consecutive pieces in windows: it packs a window and
+what earlier ones left, and sets aside the full bins. Of what is left at most four windows are
+carried on; the rest goes to the second round. A sequence has the number of its middle piece in the order, so a
+prefix of the sequences holds about a prefix of the order.
+
 Null text counts as empty (the end id alone). Repeated rows are packed as often as they occur. Empty
 tables give empty results. Ties are settled by (length, doc_id, piece, checksum), so a lost task
 that is run again packs the same.
@@ -29,8 +34,8 @@ from .tokens import encoder, vocabulary_path
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document; one pass, no shuffle."""
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, order: str | None = None) -> DataFrame:
+    """A row for each piece of each document, with its document's ``order`` as position; one pass, no shuffle."""
     make = encoder(docs.sparkSession, path)
     end, width = end_id.to_bytes(4, "little"), 4 * capacity
 
@@ -38,17 +43,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
         enc = make()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, *place in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 ids = enc.encode(text.as_py()) + end
                 first = len(ids) % width or width
                 for piece, at in enumerate([0, *range(first, len(ids), width)]):
                     part = ids[at : first if not at else at + width]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = zip(*out, strict=True) if out else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *place))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()][: 5 if order is None else 6]
+            cols = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "position"][: len(kinds)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
+    place = [] if order is None else [F.col(order).cast("long").alias("position")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place).mapInArrow(cut, PIECE if order is None else PIECE + ", position long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -149,6 +155,50 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
     return [b for b in bins if b]
 
 
+def in_windows(lengths: list[int], capacity: int, window: int) -> tuple[list[list[int]], list[list[int]]]:
+    """Full bins, of pieces that lie near each other, and what can't be made full, as bins."""
+    full: list[list[int]] = []
+    late: list[int] = []
+    pool: list[int] = []
+
+    def packed(pool: list[int]) -> list[list[int]]:
+        own = [lengths[i] for i in pool]
+        return [[pool[i] for i in b] for b in local_search(best_fit(own, capacity), own, capacity)]
+
+    for at in range(0, len(lengths), window):
+        left = []
+        for b in packed([*pool, *range(at, min(at + window, len(lengths)))]):
+            if sum(lengths[i] for i in b) == capacity:
+                full.append(b)
+            else:
+                left += b
+        left.sort()
+        spare = max(0, len(left) - 4 * window)
+        late += left[:spare]
+        pool = left[spare:]
+    return full, packed(sorted(late + pool))
+
+
+def _ordered(capacity: int, window: int | None, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).sort_by("rank")
+        lengths, ranks = whole["length"].to_pylist(), whole["rank"].to_numpy()
+        full, rest = in_windows(lengths, capacity, window or len(lengths))
+        seq, off = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
+        for b in full + rest if last else full:
+            b.sort()
+            at, number = 0, ranks[b[len(b) // 2]]
+            for i in b:
+                seq[i], off[i] = number, at
+                at += lengths[i]
+        yield from whole.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).combine_chunks().to_batches()
+
+    return run
+
+
 def _packer(capacity: int, step: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -195,9 +245,32 @@ def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 40_000, scrat
     return full.unionByName(first.where("sequence_id <> -1")).unionByName(again)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_ordered(parts: DataFrame, capacity: int = 2048, block_rows: int = 40_000, window_rows: int = 500, scratch: Scratch | None = None) -> DataFrame:
+    """``parts`` (PIECE and position) with sequence_id and offset; sequence_id follows the order of (position, piece).
+
+    A task holds about block_rows pieces and packs window_rows and what is left of earlier ones at a time."""
+    scratch = scratch or Scratch(parts.sparkSession, "pack")
+    out = PIECE + ", rank long, sequence_id long, offset long"
+
+    def some(df: DataFrame) -> int:
+        return max(1, -(-df.count() // block_rows))
+
+    by = ["position", "piece", "doc_id", "start"]
+    sorted_ = parts.repartitionByRange(some(parts), *by).sortWithinPartitions(*by)
+    ranked = scratch.write(sorted_.withColumn("rank", F.monotonically_increasing_id()).drop("position"), "ranked")
+    full = ranked.where(F.col("length") == capacity).withColumn("sequence_id", F.col("rank")).withColumn("offset", F.lit(0).cast("long"))
+    short = ranked.where(F.col("length") < capacity)
+    first = scratch.write(short.repartitionByRange(some(short), "rank").mapInArrow(_ordered(capacity, window_rows, False), out), "first")
+    rest = first.where("sequence_id = -1").drop("sequence_id", "offset")
+    again = rest.repartitionByRange(some(rest), "rank").mapInArrow(_ordered(capacity, None, True), out)
+    return full.unionByName(first.where("sequence_id <> -1")).unionByName(again).drop("rank")
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, order: str | None = None) -> DataFrame:
+    """order: a whole number for each document, whose order the sequences follow."""
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.write(pieces(docs, path, capacity, end_id), "pieces"), capacity, scratch=scratch)
+    parts = scratch.write(pieces(docs, path, capacity, end_id, order), "pieces")
+    return pack(parts, capacity, scratch=scratch) if order is None else pack_ordered(parts, capacity, scratch=scratch)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
