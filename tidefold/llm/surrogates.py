@@ -53,7 +53,7 @@ FINDER = regex.compile(
 )
 KINDS = ("email", "aws", "token", "secret", "ipv4", "ssn", "card", "phone", "name")
 #: What every text with an entity has, as a pattern for the JVM; each alternative begins with few letters.
-QUICK = rf"[@=:_]|\p{{Nd}}{{2}}|A[KS]IA|-[0-9A-Za-z_\-]{{16}}|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})[.\s]"
+QUICK = rf"[@=:_]|\p{{Nd}}{{2}}|\p{{Nd}}\.\p{{Nd}}|A[KS]IA|-[0-9A-Za-z_\-]{{16}}|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})(?U:[.\s\x1c-\x1f])"
 
 
 def found(text: str) -> list[tuple[int, int, str, str]]:
