@@ -8,7 +8,8 @@ form, a name's gender (from the title) and number of parts. Each mention is writ
 
 Collision checks keep distinct entities distinct: where two share a surrogate, or a surrogate is
 itself a found entity, all but the first (settled ones first, then the least) draw again until none
-collides. The work is aggregations and joins on entities; a frequent entity is summed up before the
+collides. From the eighth attempt on they grow longer (but for IPv4 addresses), so the supply doesn't end.
+The work is aggregations and joins on entities; a frequent entity is summed up before the
 shuffle. Texts in which a quick pattern finds nothing pass without a shuffle.
 
 Null and empty texts come back as they are with 0 entities; repeated rows are treated alike.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,6 +73,8 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
             norm = "".join(c for c in raw if c.isdigit())
             if kind == "card" and not luhn(norm):
                 continue  # some other long number
+        elif kind == "secret" and len(set(raw)) == 1 and not raw[0].isalnum():
+            continue  # a mask
         elif kind == "name":
             norm = _TITLES[m["title"].lower()] + " " + " ".join(raw.split()).casefold()
         else:
@@ -94,6 +98,7 @@ class Draw:
         return out
 
 
+_SIGNS = "!#$%&*+-./:<=>?@^_|~"
 _ALPHABETS = {"Latin": "abcdefghijklmnopqrstuvwxyz", "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
@@ -108,8 +113,8 @@ def shaped(text: str, d: Draw, hexa: bool = False) -> str:
     for c in text:
         if hexa and c in "0123456789abcdef":
             c = "0123456789abcdef"[d.below(16)]
-        elif c.isdigit() and c.isascii():
-            c = str(d.below(10))
+        elif c.isdecimal():
+            c = chr(ord(c) - unicodedata.decimal(c) + d.below(10))
         elif c.isalpha():
             letters = _ALPHABETS.get(_script(c))
             if letters:
@@ -119,6 +124,8 @@ def shaped(text: str, d: Draw, hexa: bool = False) -> str:
                 base = ord(c) & ~63
                 same = [chr(base + i) for i in range(64) if chr(base + i).isalpha()]
                 c = same[d.below(len(same))]
+        elif c.isnumeric():
+            c = str(d.below(10))
         out.append(c)
     return "".join(out)
 
@@ -134,24 +141,28 @@ def luhn(digits: str) -> bool:
 def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
     """The surrogate in normal form."""
     d = Draw(key, kind, norm, attempt)
+    if kind in ("ipv4", "name"):
+        more = ""
+    else:  # late attempts, longer ones
+        more = "".join(str(d.below(10)) for _ in range(attempt - 7))
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
-        return shaped(local, d) + "@" + ".".join([shaped(x, d) for x in labels[:-1]] + labels[-1:])
+        return shaped(local, d) + more + "@" + ".".join([shaped(x, d) for x in labels[:-1]] + labels[-1:])
     if kind == "ipv4":
         first = 1 + d.below(223)
         return ".".join(str(x) for x in (first + (first == 127), d.below(256), d.below(256), 1 + d.below(254)))
     if kind == "card":  # found ones have a right check digit
-        body = norm[0] + "".join(str(d.below(10)) for _ in norm[2:])
+        body = norm[0] + "".join(str(d.below(10)) for _ in norm[2:]) + more
         good = next(str(c) for c in range(10) if luhn(body + str(c)))
         return body + good
     if kind == "phone":
         country = norm[:-10] if len(norm) > 10 else ""
-        return country + str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in norm[len(country) + 1 :])
+        return country + str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in norm[len(country) + 1 :]) + more
     if kind == "ssn":
-        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}"
+        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}" + more
     if kind == "aws":
-        return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])
+        return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:]) + more
     if kind == "name":
         gender, _, rest = norm.partition(" ")
         parts, script = rest.split(), _script(rest[0])
@@ -164,15 +175,17 @@ def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
         return norm[0] + " " + " ".join(out)
     if kind == "token":
         head = regex.match(r"[a-z]+[_\-]", norm)[0]
-        return head + shaped(norm[len(head) :], d)
-    return shaped(norm, d, hexa=bool(regex.fullmatch(r"[0-9a-f]+", norm)))
+        return head + shaped(norm[len(head) :], d) + more
+    if not any(c.isalnum() for c in norm):  # a secret of signs alone
+        return "".join(_SIGNS[d.below(len(_SIGNS))] for _ in norm) + more
+    return shaped(norm, d, hexa=bool(regex.fullmatch(r"[0-9a-f]+", norm))) + more
 
 
 def written(raw: str, kind: str, made: str) -> str:
     """A surrogate in the format of one mention."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in raw)
+        return "".join(next(digits) if c.isdigit() else c for c in raw) + "".join(digits)
     if kind == "email":
         if raw == raw.upper():
             return made.upper()
