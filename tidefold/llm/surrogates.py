@@ -42,6 +42,14 @@ _SURNAMES = {
 }
 
 _TITLE = "|".join(sorted((t[0].upper() + t[1:] for t in _TITLES), key=len, reverse=True))
+#: A country code and groups of any size, perhaps with the trunk's (0) or an area in parentheses; ``phone`` checks the number of digits.
+_GROUPS = r"\d{1,3}(?:[ .\-/]?\(\d{1,5}\))?(?:[ .\-/]?\d){4,14}"
+#: Numbers with a leading 0 (in pairs, in other groups, or 10 or 11 digits in one) and Spanish ones of 9 digits in groups; no dates.
+_NATIONAL = (
+    r"(?<![\w+]|\d[.,\-/ ])(?!\d\d?[ .\-/]\d\d?[ .\-/](?:19|20)\d\d(?!\d))"
+    r"(?:0[1-9](?:(?P<sep>[ .\-])\d{2})(?:(?P=sep)\d{2}){3}|\(0\d{1,4}\)[ \-/]?\d{2,8}(?:[ \-]\d{2,6}){0,3}|0[1-9]\d{0,3}[ \-/]\d{2,8}(?:[ \-]\d{2,8}){0,4}|0[1-9]\d{8,9}"
+    r"|[6-9]\d{2}(?P<s3>[ \-])\d{3}(?P=s3)\d{3}|[6-9]\d{2}(?P<s2>[ .\-])\d{2}(?P=s2)\d{2}(?P=s2)\d{2}|[89]\d(?P<s1>[ .\-])\d{3}(?P=s1)\d{2}(?P=s1)\d{2})(?!\d|[.,\-/]\d)"
+)
 FINDER = regex.compile(
     r"(?P<email>[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+)"
     r"|(?P<aws>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
@@ -50,12 +58,33 @@ FINDER = regex.compile(
     r"|(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<card>(?<![\d\-])[3-6]\d{3}(?:(?P<gap>[ \-]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,4}|[ \-]?\d{6}[ \-]?\d{5})(?![\d\-]))"
-    r"|(?P<phone>(?<![\d\w])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?\d{2,4}[ .\-]?\d{3,4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\d])|(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\d]))"
+    r"|(?P<phone>(?<![\d\w])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?\d{2,4}[ .\-]?\d{3,4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?![\d])|"
+    rf"(?<![\d\w])(?:\+|00(?=[1-9])){_GROUPS}(?![\d])|(?<![\d\w])\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,4}}(?![\d])|{_NATIONAL})"
     rf"|(?:\b(?P<title>{_TITLE})\.?\s(?P<name>\p{{Lu}}[\p{{L}}'’\-]+(?:\s\p{{Lu}}[\p{{L}}'’\-]+){{0,2}}))"
 )
 KINDS = ("email", "aws", "token", "secret", "ipv4", "ssn", "card", "phone", "name")
 #: What every text with an entity has, as a pattern for the JVM; each alternative begins with few letters.
-QUICK = rf"[@=:_]|\p{{Nd}}{{2}}|\p{{Nd}}\.\p{{Nd}}|A[KS]IA|-[0-9A-Za-z_\-]{{16}}|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})(?U:[.\s\x1c-\x1f])"
+QUICK = rf"[@=:_]|\+\p{{Nd}}|\p{{Nd}}{{2}}|\p{{Nd}}\.\p{{Nd}}|A[KS]IA|-[0-9A-Za-z_\-]{{16}}|(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})(?U:[.\s\x1c-\x1f])"
+
+
+#: Digits of a number with its country code, where the plan fixes them.
+_PLANS = {"1": 11, "7": 11, "33": 11, "34": 11}
+
+
+def phone(raw: str) -> str:
+    """``raw`` without last groups that are too many for a number; empty if it has too few digits."""
+    plain = raw.replace("(0)", "")
+    digits = "".join(c for c in plain if c.isdigit())
+    if raw.startswith(("+", "00")):
+        digits = digits if raw[0] == "+" else digits[2:]
+        fewest, most = 7, next((n for code, n in _PLANS.items() if digits.startswith(code)), 13)
+    elif raw.startswith(("0", "(0")):
+        fewest, most = 8, 12
+    else:
+        return raw
+    while len(digits) > most and (cut := regex.search(r"[ .\-/]\d+$", raw)):
+        digits, raw = digits[: -(len(cut[0]) - 1)], raw[: cut.start()]
+    return raw if fewest <= len(digits) <= max(most, 15) else ""
 
 
 def found(text: str) -> list[tuple[int, int, str, str]]:
@@ -70,6 +99,11 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
             b = a + len(raw)
             norm = raw.lower()
         elif kind in ("phone", "card", "ssn"):
+            if kind == "phone":
+                raw = phone(raw)
+                b = a + len(raw)
+                if not raw:
+                    continue
             norm = "".join(c for c in raw if c.isdigit())
             if kind == "card" and not luhn(norm):
                 continue  # some other long number
