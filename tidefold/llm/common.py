@@ -66,6 +66,11 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """``df`` (a written table of a few numbers a row), marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fits(columns: list[str], wanted: str) -> str:
     """``wanted``, or that with underscores in front, so that it clashes with none of ``columns``."""
     low = {c.lower() for c in columns}

@@ -2,21 +2,27 @@
 
 Sets with Jaccard similarity of at least t differ in at most H = (1 - t) / (1 + t) * (r + s) elements.
 The universe of shingle hashes is dealt into m segments, m by size band (sizes of one bit length). A
-set R gives each segment a value: 1 if it is searched for equal, 2 if also for one element more or
-less (one-deletion neighbourhoods, kept for the ``RESERVE`` first segments). If the values sum to more
-than H, some searched segment matches. m and the reserve come from ``allocation``, which takes the
-fewest signatures that leave room over H. Signatures with many pairs of unlike texts for each member (a passage in a
-great many texts) are priced out: their value is taken from R, and only where R's sum then falls to
-H or below is R still compared within them; so no pair is lost. A set whose values never exceed H is
-compared by all its shingles (``_rest``), which is exact as well.
-
-1. one pass makes the signatures; texts equal to an earlier one in the same task become copies of it;
-2. signatures met once are dropped by a spilling window; in each signature's group neighbours of
-   different components are candidates; those verified on the words of the texts join components;
-3. what is left to compare are groups with several components, across components. A pair is verified
-   if the values it was found by exceed what H differences leave at least; then components are joined.
-
-Verification compares the sets of word tuples themselves. Links are never gathered on the driver.
+set gives each segment a value: 1 if it is searched for equal, 2 if also for one element more or
+less (one-deletion neighbourhoods, kept for the ``RESERVE`` first segments). If the values of either set
+sum to more than H, some segment matches. m and the reserve come from ``allocation``, which takes the
+fewest signatures that leave room over H for partners of any size.
+
+1. One pass makes the signatures; texts equal to an earlier one in the same task become copies of it. A
+   signature met often in one chunk of rows is salted by the chunk, so that no task of the next step gets
+   more than ``LOCAL`` of its rows from a chunk. Signatures met once are dropped.
+2. In each signature's group neighbours of different components are candidates; those verified on the
+   words of the texts join components, until a round finds few.
+3. What is left are groups in which several components meet. A group with more than ``HOT`` pairs across
+   components for each member (a passage in a great many texts) is priced out, and its value is taken
+   from its members. In the others all pairs across components are met, so their number is in proportion
+   to the members. A pair is verified if it was found by as many values as H differences leave at least.
+4. Sets whose values fall to H or below (``rest``) are only not guaranteed against each other. Of their
+   shingles, rarest first by the components that hold them, a pair shares one within the first
+   r - o + 1 and s - o + 1, o the least overlap of the two sizes; sizes are dealt into narrow bands so
+   that a shingle common to many isn't looked at unless a pair of those sizes needs it.
+
+Verification compares the sets of word tuples themselves. Links are never gathered on the driver, and
+none is dropped. n_shingles counts distinct 64-bit hashes of shingles.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with equal doc_id are told
 apart by their text; null ids come last and are their own components' ids only if alone. Equal rows link.
@@ -35,13 +41,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, fits, mix, order_key, slices, spans_hash, table, utf8
+from .common import Scratch, bounded, components, fits, mix, order_key, slices, spans_hash, table, utf8
 
-INDEX, OWN, LOWER, RESERVE, COPY, DOC = 1, 2, 4, 8, 64, 128
+INDEX, OWN, LOWER, RESERVE, LINK, COPY, DOC = 1, 2, 4, 8, 16, 64, 128
 #: Groups with more pairs across components than so many for each member are priced out.
 HOT = 8
-#: Rounds of step 2 at most; they only make step 3 shorter.
-MOST_ROUNDS = 5
+#: Rows of one signature in one chunk that go to its group; others are dealt by chunk.
+LOCAL = 8
+#: Signatures of a chunk, about.
+CHUNK = 1_000_000
+#: Step 2 ends with a round that finds less than this share of the first's links; they only make step 3 shorter.
+FEW = 0.02
 REMEMBERED = 400_000
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -95,21 +105,21 @@ def hashed(data: np.ndarray, offs: np.ndarray, words: int = 5) -> list[np.ndarra
 
 @lru_cache(None)
 def allocation(band: int, num: int, den: int) -> tuple[int, int]:
-    """(segments, reserved ones) for sizes of bit length ``band``: the fewest signatures that leave
-    a margin over H for the largest sets searched with, in their own band and from the next one."""
+    """(segments, reserved ones) for sizes of bit length ``band``: the fewest signatures that leave a
+    margin over H for the largest sets of the band and for those from the next one searched with in it."""
     if band <= 5:  # nearly a segment for each element; fewer would now and then leave a small set short
         return 1024, 2
     hi, t = 1 << band, num / den
-    f = (1 - t) / (1 + t)
+    need = (1 + 1 / t) * (1 - t) / (1 + t) * hi + 1  # also where the partner is the larger one
     best, cost = (0, 0), math.inf
-    for share in (0.02, 0.05, 0.1):
-        m = max(2, int(f * hi))
+    for share in (0.0, 0.02, 0.05, 0.1):
+        m = max(2, int(need))
         while True:
             d = min(m, 2 + int(share * m))
             lam = [hi / m, hi / t / m]
             value = [m * (1 - math.exp(-x)) + d * (1 - math.exp(-x) * (1 + x)) for x in lam]
-            need = [2 * f * hi + 1, (1 + 1 / t) * f * hi + 1]
-            if all(v - n >= 2 * math.sqrt(hi) * f * 2 + 1 + 0.15 * n for v, n in zip(value, need, strict=True)) or m >= 4 * hi:
+            spread = math.sqrt(m * math.exp(-lam[0]))
+            if min(value) - need >= 2 * spread + 1 + 0.05 * need or m >= 4 * hi:
                 break
             m += max(1, m // 50)
         rows = m * (1 - math.exp(-lam[0])) + 2 * d * lam[0] + d
@@ -119,14 +129,13 @@ def allocation(band: int, num: int, den: int) -> tuple[int, int]:
 
 
 def signatures(u: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(hashes, flags, room in the own band, room in the lower band) of one set; room is the sum of values less H + 1."""
+    """(hashes, flags, value in the own band, value in the lower band or -1 if it has no partners there)."""
     n = len(u)
     own = int(n).bit_length()
-    hs, fs, room = [], [], []
+    hs, fs, value = [], [], []
     for band, probe in ((own, OWN), (own - 1, LOWER)):
-        top = (1 << band) - 1
-        if probe == LOWER and num * n > den * top:
-            room.append(8000)
+        if probe == LOWER and num * n > den * ((1 << band) - 1):
+            value.append(-1)
             continue
         m, d = allocation(band, num, den)
         x = mix(u + _times(_K[1], band))
@@ -152,44 +161,77 @@ def signatures(u: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
             part = np.repeat(np.arange(len(head)), size)[every]
             hs.append(mix((total[part] - v[every]) ^ salt[part] ^ _K[4]))
             fs.append(np.full(len(part), RESERVE | INDEX))
-        h = (den - num) * (n + min(n, top)) // (den + num)
-        room.append(len(head) + int((spare & (size > 1)).sum()) - h - 1)
-    return np.concatenate(hs), np.concatenate(fs), room[0], room[1]
+        value.append(len(head) + int((spare & (size > 1)).sum()))
+    return np.concatenate(hs), np.concatenate(fs), value[0], value[1]
+
+
+def salted(h: np.ndarray, k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (h, k, x) of one chunk's signatures, with the chunk's number in the upper bits of x for those of a
+    signature beyond its first ``LOCAL``, of which the last is there twice to tie the two parts."""
+    if not len(h):
+        return h, k, x
+    order = np.lexsort(((x & INDEX) == 0, h))
+    h, k, x = h[order], k[order], x[order]
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    rank = np.arange(len(h)) - np.repeat(head, np.diff(np.r_[head, len(h)]))
+    many = rank >= LOCAL
+    if many.any():
+        chunk = int(1 + (mix(k[:1].view(np.uint64))[0] & np.uint64((1 << 27) - 2))) << 36
+        x[many] |= chunk
+        ties = np.flatnonzero(many & (rank == LOCAL)) - 1
+        h, k, x = np.r_[h, h[ties]], np.r_[k, k[ties]], np.r_[x, x[ties] | LINK | chunk]
+    return h, k, x
 
 
 def _rows(num: int, den: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        sigs: list[tuple] = []
+        lone: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            parts = [salted(*(np.concatenate(c).astype(np.int64) for c in zip(*sigs, strict=True)))] if sigs else []
+            if lone:
+                h, k, x = (np.array(c, np.int64) for c in zip(*lone, strict=True))
+                parts.append((h, k, x | (mix(k.view(np.uint64)) & np.uint64((1 << 27) - 1)).view(np.int64) << 36))
+            sigs.clear()
+            lone.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "k", "x"])
+
         for part in slices(batches, "text", 1 << 19):
             data, offs = utf8(part.column(1))
             low = _LOW[data].tobytes()
-            out: tuple[list, list, list] = ([], [], [])
             for i, (k, u) in enumerate(zip(part.column(0).to_pylist(), hashed(data, offs, words), strict=True)):
                 n = len(u)
                 same = hashlib.sha256(low[offs[i] : offs[i + 1]]).digest()
                 was = seen.get(same)
                 if n and was is not None:
-                    rows = np.array([was]), np.array([COPY | n << 8])
-                else:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[same] = k
-                    if n:
-                        h, f, own, lower = signatures(u, num, den)
-                        x = DOC | n << 8 | min(max(own + 1, 0), 8000) << 36 | min(max(lower + 1, 0), 8000) << 49
-                        rows = np.r_[mix(np.array([k], np.int64).view(np.uint64)), h].view(np.int64), np.r_[x, f | n << 8]
-                    else:
-                        rows = np.array([k]), np.array([DOC | 1 << 36 | 1 << 49])
-                out[0].append(rows[0])
-                out[1].append(np.full(len(rows[0]), k))
-                out[2].append(rows[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["h", "k", "x"])
+                    lone.append((was, k, COPY | n << 8))
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[same] = k
+                own, lower = 0, -1
+                if n:
+                    h, f, own, lower = signatures(u, num, den)
+                    sigs.append((h.view(np.int64), np.full(len(h), k), f | n << 8))
+                    held += len(h)
+                lone.append((own << 32 | lower + 1, k, DOC | n << 8))
+            if held >= CHUNK:
+                yield flush()
+                held = 0
+        if lone:
+            yield flush()
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
+def verified(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
     """The pairs (a, b) whose sets of word tuples are similar enough."""
+    pairs = scratch.write(pairs, "pairs")
+    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "needed")
+    texts = keyed.select("k", "text").join(bounded(needed), "k", "left_semi")
     b = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     both = b.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -205,7 +247,10 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int)
                 keep.append(same > 0 and den * same >= num * (len(left) + len(right) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = scratch.write(both.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(pairs)
+    scratch.drop(needed)
+    return out
 
 
 def _flag(bit: int):
@@ -215,86 +260,121 @@ def _flag(bit: int):
 SIZE = "shiftrightunsigned(x, 8) & 268435455L"
 
 
+def across(seek: DataFrame, held: DataFrame, comps: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``seek`` (on, c) and ``held`` (on, d) that share ``on`` and are of different components.
+
+    ``comps`` has the distinct (on, c). Members are joined by pairs of components, so what is looked
+    at is no more than what comes out."""
+    meet = comps.join(comps.withColumnRenamed("c", "d"), on).where("c <> d")
+    return seek.join(meet, [*on, "c"]).join(held, [*on, "d"])
+
+
 def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """((k, n) of every row, links (a, b) that connect all rows that are connected)."""
     if 2 * num < den:
         raise ValueError("a similarity of at least one half is needed")
-    made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long")
-    group = Window.partitionBy("h")
-    lone = _flag(COPY | DOC)
+    near = lambda a, b: F.greatest(a, b) * num <= F.least(a, b) * den
+    apart = lambda total: F.floor(total * (den - num) / (den + num)).cast("long")  # noqa: E731  H
+    value = F.when(_flag(RESERVE), 2).otherwise(1)
+    # step 1
+    made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long").withColumn("s", F.shiftrightunsigned("x", 36))
+    group, lone = Window.partitionBy("h", "s"), _flag(COPY | DOC)
     met = made.withColumn("i", F.sum(F.when(~lone & _flag(INDEX), 1).otherwise(0)).over(group)).withColumn("p", F.sum(F.when(lone, 0).otherwise(1)).over(group))
-    sigs = scratch.write(met.where(lone | ((F.col("i") > 0) & (F.col("p") > 1))).select("h", "k", "x"), "signatures")
+    sigs = scratch.write(met.where(lone | (F.col("s") > 0) | ((F.col("i") > 0) & (F.col("p") > 1))).select("h", "k", "x"), "signatures")
     scratch.reclaim()
-    docs = sigs.where(lone).select("k", F.expr(SIZE).alias("n"), F.when(_flag(COPY), F.col("h")).alias("of"), (F.shiftrightunsigned("x", 36).bitwiseAND(F.lit(8191)) - 1).alias("own"), (F.shiftrightunsigned("x", 49).bitwiseAND(F.lit(8191)) - 1).alias("lower"))
-    copies = docs.where("of IS NOT NULL").select(F.col("k").alias("a"), F.col("of").alias("b"))
-    rows = sigs.where(~lone).withColumn("n", F.expr(SIZE))
-    near = lambda a, b: (F.greatest(a, b) * num <= F.least(a, b) * den)
-    members = rows.select("k").distinct()
-    texts = scratch.write(keyed.select("k", "text").join(members, "k", "left_semi"), "texts")
-    scratch.reclaim()
-    value = F.when(_flag(RESERVE), 2).otherwise(1)
-    # step 2: neighbours in each signature's group, often enough neighbours to be likely, until no more are found
-    told, first = rows.withColumn("c", F.col("k")), None
-    for _ in range(MOST_ROUNDS):
-        line = Window.partitionBy("h").orderBy("c", "k")
+    n = F.expr(SIZE).alias("n")
+    docs = scratch.write(sigs.where(_flag(DOC)).select("k", n, F.shiftrightunsigned("h", 32).alias("own"), (F.col("h").bitwiseAND(F.lit((1 << 32) - 1)) - 1).alias("lower")), "docs")
+    copies = scratch.write(sigs.where(_flag(COPY)).select(F.col("k").alias("a"), F.col("h").alias("b"), n), "copies")
+    rows = sigs.where(~lone).select("h", "k", "x", n, F.shiftrightunsigned("x", 36).alias("s"))
+    # step 2
+    told, label, at_first = rows.withColumn("c", F.col("k")), None, 0
+    while True:
+        line = Window.partitionBy("h", "s").orderBy("c", "k")
         chain = told.withColumns({"b": F.lag("k").over(line), "d": F.lag("c").over(line), "m": F.lag("n").over(line)})
         chain = chain.where((F.col("d") != F.col("c")) & near(F.col("n"), F.col("m"))).groupBy(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).agg(F.count("*").alias("seen"), F.min(F.least("n", "m")).alias("n"))
-        new = scratch.write(verified(chain.where("32 * seen >= n").select("a", "b"), texts, num, den, words), "links")
-        some = new.limit(1).count() > 0
-        if first is None or some:
-            first = new if first is None else scratch.write(first.unionByName(new), "links")
-            comp = scratch.write(components(first, scratch), "components")
-            told = rows.join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+        new = verified(chain.where("32 * seen >= n").select("a", "b"), keyed, scratch, num, den, words)
+        count = new.count()
+        if label is None or count:
+            edges = new if label is None else new.unionByName(label.select(F.col("k").alias("a"), F.col("c").alias("b")))
+            label = scratch.write(components(edges, scratch).select(F.col("node").alias("k"), F.col("component").alias("c")), "labels")
+            told = (rows if not at_first else told.drop("c")).join(bounded(label), "k", "left").withColumn("c", F.coalesce("c", "k"))
+            told = scratch.write(told, "told")
             mixed = told.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            told = scratch.write(told.join(mixed, "h").select("h", "k", "x", "n", "c"), "told")
+            told = scratch.write(told.join(mixed, "h", "left_semi"), "mixed")
         scratch.reclaim()
-        if not some:
+        at_first = at_first or max(count, 1)
+        if count <= FEW * at_first:
             break
     # step 3: groups in which several components meet; ``told`` has no others
-    # a group's cost is its pairs across components; above HOT for each member it is priced out, so what
-    # the join below makes is in proportion to the rows that it reads
+    told = told.where(~_flag(LINK))
     sizes = told.groupBy("h", "c").agg(F.count("*").cast("double").alias("g"))
-    several = sizes.groupBy("h").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).select("h", (F.col("g") * F.col("g") - F.col("q") > HOT * F.col("g")).alias("hot"))
-    left = scratch.write(told.join(several, "h"), "priced")
+    total = F.sum("g")
+    priced = scratch.write(sizes.groupBy("h").agg(total.alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).select("h", (F.col("g") * F.col("g") - F.col("q") > HOT * F.col("g")).alias("hot")), "priced")
+    left = scratch.write(told.join(priced, "h"), "left")
     taken = lambda bit: F.sum(F.when(_flag(bit), value).otherwise(0))
-    lost = left.where("hot").groupBy("k").agg(taken(OWN).alias("lost_own"), taken(LOWER).alias("lost_lower"))
-    room = docs.where("of IS NULL").select("k", "own", "lower").join(lost, "k", "left").na.fill(0, ["lost_own", "lost_lower"])
-    room = scratch.write(room.select("k", "own", "lower", "lost_own", "lost_lower", (F.col("lost_own") > F.col("own")).alias("short_own"), (F.col("lost_lower") > F.col("lower")).alias("short_lower")), "room")
-    probe = lambda df: df.select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"))
-    seek = probe(left.where("NOT hot").where(_flag(OWN | LOWER)))
-    poor = room.where("lost_own > 0 AND short_own OR lost_lower > 0 AND short_lower").select("k", "short_own", "short_lower")
-    hot_seek = probe(left.where("hot").join(poor, "k").where((_flag(OWN) & F.col("short_own")) | (_flag(LOWER) & F.col("short_lower"))))
-    held = left.where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    met = seek.unionByName(hot_seek).join(held, "h").where((F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
-    # a difference takes at most one from the values found, so a similar pair keeps more than the room
-    found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low")).join(room, "k")
-    bar = F.when(F.col("low"), F.col("lower") - F.when(F.col("short_lower"), 0).otherwise(F.col("lost_lower"))).otherwise(F.col("own") - F.when(F.col("short_own"), 0).otherwise(F.col("lost_own")))
-    pairs = found.where(F.col("found") > bar).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
-    second = scratch.write(verified(pairs, texts, num, den, words), "links")
-    out = first.unionByName(second).unionByName(copies)
-    bare = docs.where("of IS NULL AND n > 0 AND (own < 0 OR lower < 0)").select("k", "n")
-    if bare.limit(1).count():
-        out = out.unionByName(_rest(bare, keyed, scratch, num, den, words))
-    return docs.select("k", "n"), out
-
-
-def _rest(bare: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
-    """Links of sets that the values can't guarantee: candidates share any shingle and are of like size."""
-    least, most = bare.agg(F.min("n"), F.max("n")).first()
+    lost = left.where("hot").groupBy("k").agg(taken(OWN | INDEX).alias("lost_own"), taken(LOWER).alias("lost_lower"))
+    room = docs.where("n > 0").join(lost, "k", "left").na.fill(0, ["lost_own", "lost_lower"])
+    room = scratch.write(room.select("k", "n", (F.col("own") - F.col("lost_own")).alias("own"), F.when(F.col("lower") >= 0, F.col("lower") - F.col("lost_lower")).alias("lower")), "room")
+    seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"))
+    held = left.where("NOT hot").where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    comps = left.where("NOT hot").select("h", "c").distinct()
+    met = across(seek, held, comps, ["h"]).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
+    found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low"))
+    # H differences take at most so many from the values of either set, so a similar pair keeps the rest
+    found = found.join(room, "k").join(room.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
+    bar = F.greatest(F.when(F.col("low"), F.col("lower")).otherwise(F.col("own")), "other") - apart(F.col("n") + F.col("m"))
+    second = verified(found.where(F.col("found") >= bar).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct(), keyed, scratch, num, den, words)
+    scratch.drop(left)
+    # step 4: as the larger one of a pair, and as the smaller one
+    top = F.expr("shiftleft(1L, length(bin(n)) - 1) - 1")
+    as_larger = (F.col("own") <= apart(2 * F.col("n"))) | F.coalesce(F.col("lower") <= apart(F.col("n") + top), F.lit(False))
+    as_smaller = F.col("own") <= apart(F.col("n") + F.floor(F.col("n") * den / num))
+    poor = room.select("k", "n", as_larger.alias("larger"), as_smaller.alias("smaller")).where("larger OR smaller")
+    poor = scratch.write(poor.join(label, "k", "left").withColumn("c", F.coalesce("c", "k")), "poor")
+    out = label.select(F.col("k").alias("a"), F.col("c").alias("b")).unionByName(second).unionByName(copies.select("a", "b"))
+    if poor.where("larger").limit(1).count():
+        out = out.unionByName(rest(poor, keyed, scratch, num, den, words))
+    return docs.select("k", "n").unionByName(copies.select(F.col("a").alias("k"), "n")), out
+
+
+def _band(n: str) -> str:
+    """SQL for the number of n's band of sizes, 16 for each bit length."""
+    return f"(length(bin({n})) * 16 + shiftright(shiftleft({n}, 4), length(bin({n})) - 1) - 16)"
+
+
+def _least(band: str) -> str:
+    """SQL for the least size of a band."""
+    return f"shiftright(shiftleft(16L + {band} % 16, CAST({band} DIV 16 - 1 AS INT)) + 15, 4)"
+
+
+def rest(poor: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
+    """Links between rows of ``poor`` (k, n, c, larger, smaller) of different components, the larger set marked
+    ``larger`` and the smaller one ``smaller``."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
-            us = hashed(*utf8(part.column(1)), words)
-            us = [u if num * least <= den * len(u) and num * len(u) <= den * most else u[:0] for u in us]
-            k = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(u) for u in us])
-            n = np.repeat(np.array([len(u) for u in us], np.int64), [len(u) for u in us])
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(np.concatenate(us).view(np.int64))], ["k", "n", "u"])
-
-    all_ = keyed.select("k", "text").mapInArrow(explode, "k long, n long, u long")
-    some = all_.join(bare.select("k"), "k", "left_semi").select(F.col("k").alias("a"), F.col("n").alias("m"), "u")
-    met = some.join(all_, "u").where((F.col("a") != F.col("k")) & (F.greatest("n", "m") * num <= F.least("n", "m") * den))
-    pairs = met.select("a", F.col("k").alias("b")).distinct()
-    return scratch.write(verified(pairs, keyed.select("k", "text"), num, den, words), "rest")
+            us = hashed(*utf8(part.column("text")), words)
+            at = pa.array(np.repeat(np.arange(len(us)), [len(u) for u in us]))
+            cols = [part.column(name).take(at) for name in ("k", "n", "c", "larger", "smaller")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(us).view(np.int64))], ["k", "n", "c", "larger", "smaller", "u"])
+
+    rows = keyed.select("k", "text").join(bounded(poor), "k")
+    rows = scratch.write(rows.mapInArrow(explode, "k long, n long, c long, larger boolean, smaller boolean, u long"), "shingles")
+    spread = rows.groupBy("u", "c").agg(F.max("larger").alias("larger")).groupBy("u").agg(F.count("*").alias("f"), F.max("larger").alias("of")).where("f > 1 AND of").select("u", "f")
+    # the place of a shingle among its set's, rarest first; those of one component come first and are left out
+    own = Window.partitionBy("k")
+    ranked = rows.join(spread, "u").withColumn("i", F.row_number().over(own.orderBy("f", "u")) - 1 + F.col("n") - F.count("*").over(own))
+    least = lambda a, b: f"CAST(ceil({num} * ({a} + {b}) / {num + den}) AS BIGINT)"  # noqa: E731  the least overlap
+    ranked = scratch.write(ranked, "ranked")
+    seek = ranked.where("larger").withColumn("z", F.expr(_band("n"))).withColumn("y", F.expr(f"explode(sequence({_band(f'CAST(ceil({num} * n / {den}) AS BIGINT)')}, z))"))
+    seek = seek.where(F.expr(f"i <= n - {least('n', f'greatest({_least('y')}, CAST(ceil({num} * n / {den}) AS BIGINT))')}")).select("u", "y", "z", "k", "n", "c", "i")
+    held = ranked.where("smaller").withColumn("y", F.expr(_band("n"))).withColumn("z", F.expr(f"explode(sequence(y, {_band(f'CAST(floor({den} * n / {num}) AS BIGINT)')}))"))
+    held = held.where(F.expr(f"i <= n - {least('n', f'greatest({_least('z')}, n)')}")).select("u", "y", "z", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"))
+    seek, held = scratch.write(seek, "seek"), scratch.write(held, "held")
+    comps = seek.select("u", "y", "z", "c").unionByName(held.select("u", "y", "z", F.col("d").alias("c"))).distinct()
+    o = F.expr(least("n", "m"))
+    met = across(seek, held, comps, ["u", "y", "z"]).where((F.col("m") <= F.col("n")) & (F.col("i") <= F.col("n") - o) & (F.col("j") <= F.col("m") - o) & (F.col("n") * num <= F.col("m") * den))
+    return verified(met.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct(), keyed, scratch, num, den, words)
 
 
 def joined(docs: DataFrame, num: int = 75, den: int = 100, words: int = 5, scratch: Scratch | None = None) -> DataFrame:
