@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, components, fits, mix, order_key, slices, spans_hash, table, utf8
 
-INDEX, OWN, LOWER, RESERVE, LINK, COPY, DOC = 1, 2, 4, 8, 16, 64, 128
+INDEX, OWN, LOWER, RESERVE, LINK, LOW, COPY, DOC = 1, 2, 4, 8, 16, 32, 64, 128
 #: Groups with more pairs across components than so many for each member are priced out.
 HOT = 8
 #: Rows of one signature in one chunk that go to its group; others are dealt by chunk.
@@ -51,7 +51,7 @@ LOCAL = 8
 #: Signatures of a chunk, about.
 CHUNK = 1_000_000
 #: Step 2 ends with a round that finds less than this share of the first's links; they only make step 3 shorter.
-FEW = 0.02
+FEW = 0.01
 REMEMBERED = 400_000
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -94,7 +94,10 @@ def hashed(data: np.ndarray, offs: np.ndarray, words: int = 5) -> list[np.ndarra
     total = mix(total)
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(total[a : b - words + 1]))
+            own = np.sort(total[a : b - words + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
         elif b > a:
             short = wh[a:b]
             out.append(mix(np.array([np.add.reduce(mix(short + _K[0] * np.arange(1, b - a + 1, dtype=np.uint64))) ^ np.uint64(b - a)], np.uint64)))
@@ -128,59 +131,67 @@ def allocation(band: int, num: int, den: int) -> tuple[int, int]:
     return best
 
 
-def signatures(u: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(hashes, flags, value in the own band, value in the lower band or -1 if it has no partners there)."""
-    n = len(u)
-    own = int(n).bit_length()
-    hs, fs, value = [], [], []
-    for band, probe in ((own, OWN), (own - 1, LOWER)):
-        if probe == LOWER and num * n > den * ((1 << band) - 1):
-            value.append(-1)
-            continue
-        m, d = allocation(band, num, den)
-        x = mix(u + _times(_K[1], band))
-        seg = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(seg, kind="stable")
-        seg, v = seg[order], mix(x[order] ^ _K[2])
-        head = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        size = np.diff(np.r_[head, n])
-        total = np.add.reduceat(v, head)
-        salt = mix(seg[head].astype(np.uint64) * _K[3] + np.uint64(band))
-        spare = seg[head] < d
-        hs.append(mix(total ^ salt))
-        fs.append(np.where(spare, RESERVE, 0) | probe | (INDEX if probe == OWN else 0))
-        hs.append(mix(total[spare] ^ salt[spare] ^ _K[4]))  # found by those with one element more
-        fs.append(np.full(int(spare.sum()), RESERVE | probe))
-        many = np.repeat(spare & (size > 1), size)
-        part = np.repeat(np.arange(len(head)), size)[many]
-        less = total[part] - v[many]
-        hs.append(mix(less ^ salt[part]))  # finds those with one element less
-        fs.append(np.full(len(less), RESERVE | probe))
+def signatures(us: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted sets: (set, hash, flags) of their signatures, and of each set its value in its own band and in
+    the lower one (-1 if it has no partners there). Segments are ranges of the hashes, so they come in order."""
+    size = np.array([len(u) for u in us], np.int64)
+    bits = np.array([int(n).bit_length() for n in size], np.int64)
+    everything, owner = np.concatenate(us), np.repeat(np.arange(len(us)), size)
+    weights = mix(everything ^ _K[2])
+    lower = np.array([n > 0 and num * int(n) <= den * ((1 << int(b) - 1) - 1) for n, b in zip(size, bits, strict=True)], bool)
+    parts, values = [], []
+    for probe, which in ((OWN, size > 0), (LOWER, lower)):
+        band = bits - (probe == LOWER)
+        alloc = {int(b): allocation(int(b), num, den) for b in np.unique(band[which])}
+        of = np.zeros((65, 2), np.int64)
+        for b, md in alloc.items():
+            of[b] = md
+        take = which[owner]
+        u, v, doc = everything[take], weights[take], owner[take]
+        seg = ((u >> np.uint64(32)) * of[band[doc], 0].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        head = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])]) if len(u) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[head, len(u)])
+        total = np.add.reduceat(v, head) if len(u) else v
+        d, at = doc[head], seg[head]
+        salt = mix(at.astype(np.uint64) * _K[3] + band[d].astype(np.uint64) * _K[1])
+        spare = at < of[band[d], 1]
+        parts.append((d, mix(total ^ salt), np.where(spare, RESERVE, 0) | probe | (INDEX if probe == OWN else 0)))
+        parts.append((d[spare], mix(total[spare] ^ salt[spare] ^ _K[4]), np.full(int(spare.sum()), RESERVE | probe)))  # found by those with one element more
+        cell = np.repeat(np.arange(len(head)), many)
+        one = np.repeat(spare & (many > 1), many)
+        c = cell[one]
+        parts.append((d[c], mix(total[c] - v[one] ^ salt[c]), np.full(len(c), RESERVE | probe)))  # finds those with one element less
         if probe == OWN:
-            every = np.repeat(spare, size)
-            part = np.repeat(np.arange(len(head)), size)[every]
-            hs.append(mix((total[part] - v[every]) ^ salt[part] ^ _K[4]))
-            fs.append(np.full(len(part), RESERVE | INDEX))
-        value.append(len(head) + int((spare & (size > 1)).sum()))
-    return np.concatenate(hs), np.concatenate(fs), value[0], value[1]
+            one = np.repeat(spare, many)
+            c = cell[one]
+            parts.append((d[c], mix(total[c] - v[one] ^ salt[c] ^ _K[4]), np.full(len(c), RESERVE | INDEX)))
+        value = np.bincount(d, 1 + (spare & (many > 1)), len(us)).astype(np.int64)
+        values.append(np.where(which, value, -1) if probe == LOWER else value)
+    doc, h, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return doc, h, x, values[0], values[1]
 
 
 def salted(h: np.ndarray, k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (h, k, x) of one chunk's signatures, with the chunk's number in the upper bits of x for those of a
-    signature beyond its first ``LOCAL``, of which the last is there twice to tie the two parts."""
-    if not len(h):
+    """Rows (h, k, x) of one chunk's signatures; those of a signature beyond its first ``LOCAL`` have the chunk's
+    number in the upper bits of x and mixed into h. The last of the first ones is there in both forms."""
+    if len(h) <= LOCAL:
         return h, k, x
-    order = np.lexsort(((x & INDEX) == 0, h))
-    h, k, x = h[order], k[order], x[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    rank = np.arange(len(h)) - np.repeat(head, np.diff(np.r_[head, len(h)]))
-    many = rank >= LOCAL
-    if many.any():
-        chunk = int(1 + (mix(k[:1].view(np.uint64))[0] & np.uint64((1 << 27) - 2))) << 36
-        x[many] |= chunk
-        ties = np.flatnonzero(many & (rank == LOCAL)) - 1
-        h, k, x = np.r_[h, h[ties]], np.r_[k, k[ties]], np.r_[x, x[ties] | LINK | chunk]
-    return h, k, x
+    line = np.sort(h)
+    often = line[LOCAL:][line[LOCAL:] == line[:-LOCAL]]
+    if not len(often):
+        return h, k, x
+    often = np.unique(often)
+    mine = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h)
+    mine = mine[np.lexsort(((x[mine] & INDEX) == 0, h[mine]))]  # those that others find come first
+    head = np.flatnonzero(np.r_[True, h[mine][1:] != h[mine][:-1]])
+    rank = np.arange(len(mine)) - np.repeat(head, np.diff(np.r_[head, len(mine)]))
+    chunk = int(1 + (mix(k[:1].view(np.uint64))[0] & np.uint64((1 << 27) - 2)))
+    far, ties = mine[rank >= LOCAL], mine[rank == LOCAL - 1]
+    salt = chunk << 36 | chunk
+    h, x = np.r_[h, h[ties] ^ salt], np.r_[x, x[ties] | LINK | chunk << 36]
+    h[far] ^= salt
+    x[far] |= chunk << 36
+    return h, np.r_[k, k[ties]], x
 
 
 def _rows(num: int, den: int, words: int):
@@ -190,39 +201,46 @@ def _rows(num: int, den: int, words: int):
         lone: list[tuple] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             parts = [salted(*(np.concatenate(c).astype(np.int64) for c in zip(*sigs, strict=True)))] if sigs else []
-            if lone:
-                h, k, x = (np.array(c, np.int64) for c in zip(*lone, strict=True))
-                parts.append((h, k, x | (mix(k.view(np.uint64)) & np.uint64((1 << 27) - 1)).view(np.int64) << 36))
+            h, k, x = (np.array(c, np.int64) for c in zip(*lone, strict=True))
+            parts.append((h, k, x))
             sigs.clear()
             lone.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "k", "x"])
+            whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "k", "x"])
+            for at in range(0, whole.num_rows, 1 << 17):
+                yield whole.slice(at, 1 << 17)
 
         for part in slices(batches, "text", 1 << 19):
             data, offs = utf8(part.column(1))
             low = _LOW[data].tobytes()
+            new, us = [], []
             for i, (k, u) in enumerate(zip(part.column(0).to_pylist(), hashed(data, offs, words), strict=True)):
                 n = len(u)
                 same = hashlib.sha256(low[offs[i] : offs[i + 1]]).digest()
                 was = seen.get(same)
                 if n and was is not None:
-                    lone.append((was, k, COPY | n << 8))
+                    lone.append((k, was, COPY | n << 8))
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[same] = k
-                own, lower = 0, -1
-                if n:
-                    h, f, own, lower = signatures(u, num, den)
-                    sigs.append((h.view(np.int64), np.full(len(h), k), f | n << 8))
-                    held += len(h)
-                lone.append((own << 32 | lower + 1, k, DOC | n << 8))
+                new.append(k)
+                us.append(u)
+            if not us:
+                continue
+            doc, h, x, own, lower = signatures(us, num, den)
+            size = np.array([len(u) for u in us])
+            sigs.append((h.view(np.int64), np.array(new, np.int64)[doc], x | size[doc] << 8))
+            held += len(h)
+            here = mix(np.array(new, np.int64).view(np.uint64)).view(np.int64)
+            for told, flag in ((own, DOC), (lower + 1, LOW)):
+                lone += zip(here.tolist(), new, (flag | size << 8 | told << 36).tolist(), strict=True)
             if held >= CHUNK:
-                yield flush()
+                yield from flush()
                 held = 0
         if lone:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -260,12 +278,11 @@ def _flag(bit: int):
 SIZE = "shiftrightunsigned(x, 8) & 268435455L"
 
 
-def across(seek: DataFrame, held: DataFrame, comps: DataFrame, on: list[str]) -> DataFrame:
+def across(seek: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``seek`` (on, c) and ``held`` (on, d) that share ``on`` and are of different components.
 
-    ``comps`` has the distinct (on, c). Members are joined by pairs of components, so what is looked
-    at is no more than what comes out."""
-    meet = comps.join(comps.withColumnRenamed("c", "d"), on).where("c <> d")
+    Members are joined by pairs of components, so what is looked at is no more than what comes out."""
+    meet = seek.select(*on, "c").distinct().join(held.select(*on, "d").distinct(), on).where("c <> d")
     return seek.join(meet, [*on, "c"]).join(held, [*on, "d"])
 
 
@@ -277,33 +294,46 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     apart = lambda total: F.floor(total * (den - num) / (den + num)).cast("long")  # noqa: E731  H
     value = F.when(_flag(RESERVE), 2).otherwise(1)
     # step 1
-    made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long").withColumn("s", F.shiftrightunsigned("x", 36))
-    group, lone = Window.partitionBy("h", "s"), _flag(COPY | DOC)
-    met = made.withColumn("i", F.sum(F.when(~lone & _flag(INDEX), 1).otherwise(0)).over(group)).withColumn("p", F.sum(F.when(lone, 0).otherwise(1)).over(group))
-    sigs = scratch.write(met.where(lone | (F.col("s") > 0) | ((F.col("i") > 0) & (F.col("p") > 1))).select("h", "k", "x"), "signatures")
+    made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long")
+    lone, s = _flag(COPY | DOC | LOW), F.shiftrightunsigned("x", 36)
+    # one exchange serves the groups and their rows (both with the filter that the join would give one of them);
+    # a group has at most LOCAL rows of a chunk
+    dealt = made.where("h IS NOT NULL").repartition("h")
+    groups = dealt.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max(F.col("x").bitwiseAND(F.lit(INDEX))).alias("i")).where("lo < hi AND i > 0").select("h", F.lit(True).alias("met"))
+    met = dealt.join(groups, "h", "left").where(lone | (s > 0) | F.col("met"))
+    sigs = scratch.write(met.select("h", "k", "x"), "signatures")
     scratch.reclaim()
     n = F.expr(SIZE).alias("n")
-    docs = scratch.write(sigs.where(_flag(DOC)).select("k", n, F.shiftrightunsigned("h", 32).alias("own"), (F.col("h").bitwiseAND(F.lit((1 << 32) - 1)) - 1).alias("lower")), "docs")
-    copies = scratch.write(sigs.where(_flag(COPY)).select(F.col("k").alias("a"), F.col("h").alias("b"), n), "copies")
-    rows = sigs.where(~lone).select("h", "k", "x", n, F.shiftrightunsigned("x", 36).alias("s"))
+    docs = sigs.where(_flag(DOC | LOW)).groupBy("k").agg(F.max(F.expr(SIZE)).alias("n"), F.max(F.when(_flag(DOC), s)).alias("own"), (F.max(F.when(_flag(LOW), s)) - 1).alias("lower"))
+    docs = scratch.write(docs, "docs")
+    copies = scratch.write(sigs.where(_flag(COPY)).select(F.col("h").alias("a"), F.col("k").alias("b"), n), "copies")
+    salt = s.bitwiseXOR(F.shiftleft(s, 36))
+    rows = sigs.where(~lone).select(F.col("h").alias("g"), "k", "x", n, F.when(s == 0, F.col("h")).otherwise(F.col("h").bitwiseXOR(salt)).alias("h"))
     # step 2
-    told, label, at_first = rows.withColumn("c", F.col("k")), None, 0
+    told, label, at_first, turn = rows.withColumn("c", F.col("k")), None, 0, 0
     while True:
-        line = Window.partitionBy("h", "s").orderBy("c", "k")
-        chain = told.withColumns({"b": F.lag("k").over(line), "d": F.lag("c").over(line), "m": F.lag("n").over(line)})
+        turn += 1
+        if turn % 2:  # each with the one that has most signatures of the group, which in a loose group is near to most
+            score = scratch.write(told.groupBy("k").agg(F.count("*").alias("score")), "score")
+            ordered, other = told.join(bounded(score), "k"), F.first
+            line = Window.partitionBy("g").orderBy(F.desc("score"), F.xxhash64("k")).rowsBetween(Window.unboundedPreceding, 0)
+        else:  # neighbours in another order each time
+            ordered, other = told, F.lag
+            line = Window.partitionBy("g").orderBy(F.xxhash64("k", F.lit(turn)))
+        chain = ordered.withColumns({"b": other("k").over(line), "d": other("c").over(line), "m": other("n").over(line)})
         chain = chain.where((F.col("d") != F.col("c")) & near(F.col("n"), F.col("m"))).groupBy(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).agg(F.count("*").alias("seen"), F.min(F.least("n", "m")).alias("n"))
         new = verified(chain.where("32 * seen >= n").select("a", "b"), keyed, scratch, num, den, words)
         count = new.count()
         if label is None or count:
             edges = new if label is None else new.unionByName(label.select(F.col("k").alias("a"), F.col("c").alias("b")))
             label = scratch.write(components(edges, scratch).select(F.col("node").alias("k"), F.col("component").alias("c")), "labels")
-            told = (rows if not at_first else told.drop("c")).join(bounded(label), "k", "left").withColumn("c", F.coalesce("c", "k"))
-            told = scratch.write(told, "told")
-            mixed = told.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            told = scratch.write(told.join(mixed, "h", "left_semi"), "mixed")
+            was, now = told, (told.drop("c") if at_first else rows).join(bounded(label), "k", "left").withColumn("c", F.coalesce("c", "k"))
+            mixed = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+            told = scratch.write(now.join(mixed, "h", "left_semi"), "mixed")
+            scratch.drop(was)
         scratch.reclaim()
         at_first = at_first or max(count, 1)
-        if count <= FEW * at_first:
+        if turn > 1 and count <= FEW * at_first:
             break
     # step 3: groups in which several components meet; ``told`` has no others
     told = told.where(~_flag(LINK))
@@ -317,8 +347,7 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     room = scratch.write(room.select("k", "n", (F.col("own") - F.col("lost_own")).alias("own"), F.when(F.col("lower") >= 0, F.col("lower") - F.col("lost_lower")).alias("lower")), "room")
     seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"))
     held = left.where("NOT hot").where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    comps = left.where("NOT hot").select("h", "c").distinct()
-    met = across(seek, held, comps, ["h"]).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
+    met = across(seek, held, ["h"]).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
     found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low"))
     # H differences take at most so many from the values of either set, so a similar pair keeps the rest
     found = found.join(room, "k").join(room.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
@@ -338,13 +367,13 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
 
 
 def _band(n: str) -> str:
-    """SQL for the number of n's band of sizes, 16 for each bit length."""
-    return f"(length(bin({n})) * 16 + shiftright(shiftleft({n}, 4), length(bin({n})) - 1) - 16)"
+    """SQL for the number of n's band of sizes, 64 for each bit length."""
+    return f"(length(bin({n})) * 64 + shiftright(shiftleft({n}, 6), length(bin({n})) - 1) - 64)"
 
 
 def _least(band: str) -> str:
     """SQL for the least size of a band."""
-    return f"shiftright(shiftleft(16L + {band} % 16, CAST({band} DIV 16 - 1 AS INT)) + 15, 4)"
+    return f"shiftright(shiftleft(64L + {band} % 64, CAST({band} DIV 64 - 1 AS INT)) + 63, 6)"
 
 
 def rest(poor: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
@@ -366,15 +395,22 @@ def rest(poor: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int
     ranked = rows.join(spread, "u").withColumn("i", F.row_number().over(own.orderBy("f", "u")) - 1 + F.col("n") - F.count("*").over(own))
     least = lambda a, b: f"CAST(ceil({num} * ({a} + {b}) / {num + den}) AS BIGINT)"  # noqa: E731  the least overlap
     ranked = scratch.write(ranked, "ranked")
-    seek = ranked.where("larger").withColumn("z", F.expr(_band("n"))).withColumn("y", F.expr(f"explode(sequence({_band(f'CAST(ceil({num} * n / {den}) AS BIGINT)')}, z))"))
+    seek = ranked.where("larger").where(F.expr(f"i <= n - {least('n', f'CAST(ceil({num} * n / {den}) AS BIGINT)')}")).withColumn("z", F.expr(_band("n"))).withColumn("y", F.expr(f"explode(sequence({_band(f'CAST(ceil({num} * n / {den}) AS BIGINT)')}, z))"))
     seek = seek.where(F.expr(f"i <= n - {least('n', f'greatest({_least('y')}, CAST(ceil({num} * n / {den}) AS BIGINT))')}")).select("u", "y", "z", "k", "n", "c", "i")
-    held = ranked.where("smaller").withColumn("y", F.expr(_band("n"))).withColumn("z", F.expr(f"explode(sequence(y, {_band(f'CAST(floor({den} * n / {num}) AS BIGINT)')}))"))
+    held = ranked.where("smaller").where(F.expr(f"i <= n - {least('n', 'n')}")).withColumn("y", F.expr(_band("n"))).withColumn("z", F.expr(f"explode(sequence(y, {_band(f'CAST(floor({den} * n / {num}) AS BIGINT)')}))"))
     held = held.where(F.expr(f"i <= n - {least('n', f'greatest({_least('z')}, n)')}")).select("u", "y", "z", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"))
     seek, held = scratch.write(seek, "seek"), scratch.write(held, "held")
-    comps = seek.select("u", "y", "z", "c").unionByName(held.select("u", "y", "z", F.col("d").alias("c"))).distinct()
     o = F.expr(least("n", "m"))
-    met = across(seek, held, comps, ["u", "y", "z"]).where((F.col("m") <= F.col("n")) & (F.col("i") <= F.col("n") - o) & (F.col("j") <= F.col("m") - o) & (F.col("n") * num <= F.col("m") * den))
-    return verified(met.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct(), keyed, scratch, num, den, words)
+    met = across(seek, held, ["u", "y", "z"]).where((F.col("m") <= F.col("n")) & (F.col("i") <= F.col("n") - o) & (F.col("j") <= F.col("m") - o) & (F.col("n") * num <= F.col("m") * den))
+    pairs = met.groupBy(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b"), F.greatest("c", "d").alias("c"), F.least("c", "d").alias("d")).agg(F.count("*").alias("seen"))
+    pairs = scratch.write(pairs, "met")
+    # of two components the pair that shares most goes first; those that it joins need no more
+    best = verified(pairs.groupBy("c", "d").agg(F.max_by(F.struct("a", "b"), F.struct("seen", "a", "b")).alias("p")).select("p.a", "p.b"), keyed, scratch, num, den, words)
+    ends = best.join(pairs, ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    one = bounded(scratch.write(components(ends, scratch), "joined"))
+    for end in ("c", "d"):
+        pairs = pairs.join(one.select(F.col("node").alias(end), F.col("component").alias(f"{end}_")), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
+    return best.unionByName(verified(pairs.where("c <> d").select("a", "b"), keyed, scratch, num, den, words))
 
 
 def joined(docs: DataFrame, num: int = 75, den: int = 100, words: int = 5, scratch: Scratch | None = None) -> DataFrame:
