@@ -68,7 +68,11 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded(df: DataFrame, most: int = 400_000) -> DataFrame:
+#: Rows of a few numbers that are broadcast, some 16 MB.
+FEW_ROWS = 400_000
+
+
+def bounded(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """``df`` (a written table of a few numbers a row), marked for broadcast if it has at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -173,13 +177,38 @@ def order_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     return scratch.write(ordered.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text"), "keyed"), False
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b) that one task gets."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 1 << 16):
+        some = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60, alone: int = 300_000) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); component is the smallest reachable node.
 
-    Alternating large-star and small-star steps. Each step is an aggregation with partial sums and a
-    join, each round is written to the shared folder, and no list of neighbours is ever gathered."""
+    Up to ``alone`` edges one task unites them (some 60 MB). Beyond, alternating large-star and small-star
+    steps: each is an aggregation with partial sums and a join, each round is written to the shared folder,
+    and no list of neighbours is ever gathered."""
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.write(now, "edges")
+    if now.count() <= alone:
+        return now.select("a", "b").coalesce(1).mapInArrow(united, "node long, component long")
     told = None
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

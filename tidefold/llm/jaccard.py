@@ -21,8 +21,8 @@ fewest signatures that leave room over H for partners of any size.
    r - o + 1 and s - o + 1, o the least overlap of the two sizes; sizes are dealt into narrow bands so
    that a shingle common to many isn't looked at unless a pair of those sizes needs it.
 
-Verification compares the sets of word tuples themselves. Links are never gathered on the driver, and
-none is dropped. n_shingles counts distinct 64-bit hashes of shingles.
+Verification compares the sets' hashes, and the word tuples themselves where the overlap is within two of
+the least that links, so equal hashes can't decide. Links are never gathered on the driver, and none is dropped. n_shingles counts distinct 64-bit hashes of shingles.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with equal doc_id are told
 apart by their text; null ids come last and are their own components' ids only if alone. Equal rows link.
@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, components, fits, mix, order_key, slices, spans_hash, table, utf8
+from .common import FEW_ROWS, Scratch, bounded, components, fits, mix, order_key, slices, spans_hash, table, utf8
 
 INDEX, OWN, LOWER, RESERVE, LINK, LOW, COPY, DOC = 1, 2, 4, 8, 16, 32, 64, 128
 #: Groups with more pairs across components than so many for each member are priced out.
-HOT = 8
+HOT = 16
+#: Members of a group up to which it is simply joined with itself.
+SMALL = 16
 #: Rows of one signature in one chunk that go to its group; others are dealt by chunk.
 LOCAL = 8
 #: Signatures of a chunk, about.
@@ -248,26 +250,33 @@ def _rows(num: int, den: int, words: int):
 def verified(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
     """The pairs (a, b) whose sets of word tuples are similar enough."""
     pairs = scratch.write(pairs, "pairs")
-    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "needed")
-    texts = keyed.select("k", "text").join(bounded(needed), "k", "left_semi")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    needed = F.broadcast(needed) if 2 * pairs.count() <= FEW_ROWS else needed
+    texts = keyed.select("k", "text").join(needed, "k", "left_semi")
     b = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     both = b.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
         for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, shingles(ta.as_py(), words)
-                right = shingles(tb.as_py(), words)
-                same = len(left & right)
-                keep.append(same > 0 and den * same >= num * (len(left) + len(right) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(slices([batch], "ta", 1 << 19), "tb", 1 << 19):
+                of = part.column(0).to_numpy()
+                heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                left = hashed(*utf8(part.column(2).take(pa.array(heads))), words)
+                right = hashed(*utf8(part.column(3)), words)
+                keep = []
+                for i, (j, r) in enumerate(zip(np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(of)])).tolist(), right, strict=True)):
+                    both = np.sort(np.concatenate([left[j], r]))
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    spare = den * same - num * (len(both) - same)
+                    if same and abs(spare) <= 2 * (den + num):  # near the threshold the words decide, elsewhere hashes can't err so far
+                        x, y = (shingles(part.column(c)[i].as_py(), words) for c in (2, 3))
+                        same = len(x & y)
+                        spare = den * same - num * (len(x) + len(y) - same)
+                    keep.append(same > 0 and spare >= 0)
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     out = scratch.write(both.mapInArrow(run, "a long, b long"), "links")
     scratch.drop(pairs)
-    scratch.drop(needed)
     return out
 
 
@@ -296,26 +305,26 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     # step 1
     made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long")
     lone, s = _flag(COPY | DOC | LOW), F.shiftrightunsigned("x", 36)
-    # one exchange serves the groups and their rows (both with the filter that the join would give one of them);
-    # a group has at most LOCAL rows of a chunk
-    dealt = made.where("h IS NOT NULL").repartition("h")
-    groups = dealt.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max(F.col("x").bitwiseAND(F.lit(INDEX))).alias("i")).where("lo < hi AND i > 0").select("h", F.lit(True).alias("met"))
-    met = dealt.join(groups, "h", "left").where(lone | (s > 0) | F.col("met"))
-    sigs = scratch.write(met.select("h", "k", "x"), "signatures")
+    # a window that spills, over groups that have at most LOCAL rows of a chunk: rows, and above 2^32 those that are found
+    one = F.when(lone, 0).when(_flag(INDEX), (1 << 32) + 1).otherwise(1).cast("long")
+    met = made.withColumn("met", F.sum(one).over(Window.partitionBy("h")))
+    both = (F.col("met") > 1 << 32) & (F.col("met").bitwiseAND(F.lit((1 << 32) - 1)) > 1)
+    sigs = scratch.write(met.where(lone | (s > 0) | both).select("h", "k", "x"), "signatures")
     scratch.reclaim()
     n = F.expr(SIZE).alias("n")
     docs = sigs.where(_flag(DOC | LOW)).groupBy("k").agg(F.max(F.expr(SIZE)).alias("n"), F.max(F.when(_flag(DOC), s)).alias("own"), (F.max(F.when(_flag(LOW), s)) - 1).alias("lower"))
     docs = scratch.write(docs, "docs")
-    copies = scratch.write(sigs.where(_flag(COPY)).select(F.col("h").alias("a"), F.col("k").alias("b"), n), "copies")
+    small = docs.count() <= FEW_ROWS
+    copies = sigs.where(_flag(COPY)).select(F.col("h").alias("a"), F.col("k").alias("b"), n)
     salt = s.bitwiseXOR(F.shiftleft(s, 36))
     rows = sigs.where(~lone).select(F.col("h").alias("g"), "k", "x", n, F.when(s == 0, F.col("h")).otherwise(F.col("h").bitwiseXOR(salt)).alias("h"))
     # step 2
-    told, label, at_first, turn = rows.withColumn("c", F.col("k")), None, 0, 0
+    told, label, late, at_first, turn = rows.withColumn("c", F.col("k")), None, None, 0, 0
     while True:
         turn += 1
         if turn % 2:  # each with the one that has most signatures of the group, which in a loose group is near to most
-            score = scratch.write(told.groupBy("k").agg(F.count("*").alias("score")), "score")
-            ordered, other = told.join(bounded(score), "k"), F.first
+            score = told.groupBy("k").agg(F.count("*").alias("score"))
+            ordered, other = told.join(F.broadcast(score) if small else score, "k"), F.first
             line = Window.partitionBy("g").orderBy(F.desc("score"), F.xxhash64("k")).rowsBetween(Window.unboundedPreceding, 0)
         else:  # neighbours in another order each time
             ordered, other = told, F.lag
@@ -324,30 +333,31 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
         chain = chain.where((F.col("d") != F.col("c")) & near(F.col("n"), F.col("m"))).groupBy(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).agg(F.count("*").alias("seen"), F.min(F.least("n", "m")).alias("n"))
         new = verified(chain.where("32 * seen >= n").select("a", "b"), keyed, scratch, num, den, words)
         count = new.count()
-        if label is None or count:
-            edges = new if label is None else new.unionByName(label.select(F.col("k").alias("a"), F.col("c").alias("b")))
-            label = scratch.write(components(edges, scratch).select(F.col("node").alias("k"), F.col("component").alias("c")), "labels")
-            was, now = told, (told.drop("c") if at_first else rows).join(bounded(label), "k", "left").withColumn("c", F.coalesce("c", "k"))
-            mixed = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            told = scratch.write(now.join(mixed, "h", "left_semi"), "mixed")
-            scratch.drop(was)
-        scratch.reclaim()
-        at_first = at_first or max(count, 1)
         if turn > 1 and count <= FEW * at_first:
+            late = new
             break
+        edges = new if label is None else new.unionByName(label.select(F.col("k").alias("a"), F.col("c").alias("b")))
+        label = scratch.write(components(edges, scratch).select(F.col("node").alias("k"), F.col("component").alias("c")), "labels")
+        was, now = told, (told.drop("c") if at_first else rows).join(bounded(label), "k", "left").withColumn("c", F.coalesce("c", "k"))
+        mixed = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        told = scratch.write(now.join(mixed, "h", "left_semi"), "mixed")
+        scratch.drop(was)
+        scratch.reclaim()
+        at_first = at_first or max(count, 1)
     # step 3: groups in which several components meet; ``told`` has no others
     told = told.where(~_flag(LINK))
     sizes = told.groupBy("h", "c").agg(F.count("*").cast("double").alias("g"))
     total = F.sum("g")
-    priced = scratch.write(sizes.groupBy("h").agg(total.alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).select("h", (F.col("g") * F.col("g") - F.col("q") > HOT * F.col("g")).alias("hot")), "priced")
+    priced = scratch.write(sizes.groupBy("h").agg(total.alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).select("h", (F.col("g") * F.col("g") - F.col("q") > HOT * F.col("g")).alias("hot"), (F.col("g") > SMALL).alias("big")), "priced")
     left = scratch.write(told.join(priced, "h"), "left")
     taken = lambda bit: F.sum(F.when(_flag(bit), value).otherwise(0))
     lost = left.where("hot").groupBy("k").agg(taken(OWN | INDEX).alias("lost_own"), taken(LOWER).alias("lost_lower"))
     room = docs.where("n > 0").join(lost, "k", "left").na.fill(0, ["lost_own", "lost_lower"])
     room = scratch.write(room.select("k", "n", (F.col("own") - F.col("lost_own")).alias("own"), F.when(F.col("lower") >= 0, F.col("lower") - F.col("lost_lower")).alias("lower")), "room")
-    seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"))
-    held = left.where("NOT hot").where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    met = across(seek, held, ["h"]).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
+    seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"), "big")
+    held = left.where("NOT hot").where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), "big")
+    few = seek.where("NOT big").drop("big").join(held.where("NOT big").drop("big"), "h").where("c <> d")
+    met = few.unionByName(across(seek.where("big").drop("big"), held.where("big").drop("big"), ["h"])).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
     found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low"))
     # H differences take at most so many from the values of either set, so a similar pair keeps the rest
     found = found.join(room, "k").join(room.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
@@ -360,7 +370,7 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     as_smaller = F.col("own") <= apart(F.col("n") + F.floor(F.col("n") * den / num))
     poor = room.select("k", "n", as_larger.alias("larger"), as_smaller.alias("smaller")).where("larger OR smaller")
     poor = scratch.write(poor.join(label, "k", "left").withColumn("c", F.coalesce("c", "k")), "poor")
-    out = label.select(F.col("k").alias("a"), F.col("c").alias("b")).unionByName(second).unionByName(copies.select("a", "b"))
+    out = label.select(F.col("k").alias("a"), F.col("c").alias("b")).unionByName(late).unionByName(second).unionByName(copies.select("a", "b"))
     if poor.where("larger").limit(1).count():
         out = out.unionByName(rest(poor, keyed, scratch, num, den, words))
     return docs.select("k", "n").unionByName(copies.select(F.col("a").alias("k"), "n")), out
