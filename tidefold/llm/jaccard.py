@@ -247,6 +247,35 @@ def _rows(num: int, den: int, words: int):
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, k, x) in the order of h those that aren't met go: groups of one row, or without one that is found.
+
+    What is held is a batch and the group that it ends in, which has at most LOCAL rows of a chunk."""
+    held: list[np.ndarray] = []
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        h, x = rows[0], rows[2]
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        lone = (x & (COPY | DOC | LOW)) > 0
+        many = np.add.reduceat((~lone).astype(np.int64), head)
+        found = np.add.reduceat((~lone & ((x & INDEX) > 0)).astype(np.int64), head)
+        keep = lone | (x >> 36 > 0) | np.repeat((many > 1) & (found > 0), np.diff(np.r_[head, len(h)]))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], ["h", "k", "x"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.stack([c.to_numpy() for c in batch.columns])
+        if held and held[-1][0, -1] != new[0, -1] or not held and new[0, 0] != new[0, -1]:
+            cut = int(np.searchsorted(new[0], new[0, -1]))
+            yield work(np.concatenate([*held, new[:, :cut]], axis=1))
+            held = [new[:, cut:]]
+        else:
+            held.append(new)
+    if held:
+        yield work(np.concatenate(held, axis=1))
+
+
 def verified(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, num: int, den: int, words: int) -> DataFrame:
     """The pairs (a, b) whose sets of word tuples are similar enough."""
     pairs = scratch.write(pairs, "pairs")
@@ -305,11 +334,8 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     # step 1
     made = keyed.select("k", "text").mapInArrow(_rows(num, den, words), "h long, k long, x long")
     lone, s = _flag(COPY | DOC | LOW), F.shiftrightunsigned("x", 36)
-    # a window that spills, over groups that have at most LOCAL rows of a chunk: rows, and above 2^32 those that are found
-    one = F.when(lone, 0).when(_flag(INDEX), (1 << 32) + 1).otherwise(1).cast("long")
-    met = made.withColumn("met", F.sum(one).over(Window.partitionBy("h")))
-    both = (F.col("met") > 1 << 32) & (F.col("met").bitwiseAND(F.lit((1 << 32) - 1)) > 1)
-    sigs = scratch.write(met.where(lone | (s > 0) | both).select("h", "k", "x"), "signatures")
+    met = made.repartition("h").sortWithinPartitions("h").mapInArrow(_met, "h long, k long, x long")
+    sigs = scratch.write(met, "signatures")
     scratch.reclaim()
     n = F.expr(SIZE).alias("n")
     docs = sigs.where(_flag(DOC | LOW)).groupBy("k").agg(F.max(F.expr(SIZE)).alias("n"), F.max(F.when(_flag(DOC), s)).alias("own"), (F.max(F.when(_flag(LOW), s)) - 1).alias("lower"))
