@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidefold.operators import log as L
 from tidefold.operators import sinks, types
-from tidefold.operators.projection import ProjectionError, dead_letters, project, validated
+from tidefold.operators.projection import ProjectionError, dead, dead_letters, project, validated
 from tidefold.operators.stages import Graph, StageError, fingerprint, flat, key_counts, suppressed
 from tidefold.operators.stages import validated as stages_validated
 from tidefold.plans import config
 from tidefold.sources import cdc
-from tidefold.streaming.driver import DeadLetters, View, affected, visible
+from tidefold.streaming.driver import DeadLetters, Parked, View, affected, lag, supervised, visible
 
 
 def topic(spark, rows, schema):
@@ -42,6 +42,16 @@ def test_latest_ties_go_to_the_smallest_input(spark):
     assert rows(flat(Graph({"t": t}, [s]).out["s"])) == [("a", "ten")]
 
 
+@pytest.mark.parametrize("entries,want", [
+    ([("a", {"g": "x", "_gen": 3}), ("", 5), ("a", {"g": "y", "_gen": 3})], [("a", "y")]),  # after the marker
+    ([("a", {"g": "x", "_gen": 5}), ("a", {"g": "y", "_gen": 3}), ("", 5)], []),  # the last version counts
+    ([("a", {"g": "x", "_gen": 4}), ("", 5), ("b", {"g": "y", "_gen": 1}), ("", 2)], []),
+    ([("a", {"g": "x"}), ("", 5)], [("a", "x")]),
+])
+def test_a_marker_sweeps_what_is_there_when_it_comes(spark, entries, want):
+    assert rows(L.latest(topic(spark, entries, "g string")).select("key", "payload.g")) == want
+
+
 def test_live_set_and_sweep(spark):
     t = topic(spark, [("1", {"k": "a", "op": "new", "_gen": 1}), ("2", {"k": "a", "op": "del", "_gen": 2}), ("3", {"k": "b", "op": "new", "_gen": 2}), ("4", {"k": "c", "op": "new", "_gen": 1}), ("", 2)], "k string, op string")
     s = {"name": "s", "from": "t", "keyPath": "$.k", "reduce": "liveSet", "deleteWhen": [{"path": "$.op", "equals": "del"}], "emit": [{"field": "op", "from": "$.op"}]}
@@ -66,7 +76,7 @@ def test_merge_has_absent_sides_as_nulls(spark):
 @pytest.mark.parametrize("bad", [
     {"name": "x", "from": "t", "emit": [{"field": "a", "from": "$.a"}]}, {"name": "x", "from": "t", "keyPath": "$.a", "reduce": "latest", "emit": [{"field": "a", "from": "$.a"}]},
     {"name": "x", "from": "t", "keyPath": "$.a", "emit": [{"field": "a", "sum": "$.a"}]}, {"name": "x", "merge": ["a", "b"], "emit": [{"field": "a", "from": "$.a"}]},
-    {"name": "x", "from": "t", "keyPath": "$.a", "colour": 1, "emit": [{"field": "a", "from": "$.a"}]}, {"name": "x", "from": "t", "keyPath": "$.a", "forEach": "$.b[*]", "emit": [{"field": "a", "from": "$.a"}]},
+    {"name": "x", "from": "t", "keyPath": "$.a", "colour": 1, "emit": [{"field": "a", "from": "$.a"}]}, {"name": "x", "from": "t", "keyPath": "$.a", "forEach": "$.b[*]", "reduce": "aggregate", "emit": [{"field": "a", "count": True}]},
 ])
 def test_refused_stages(bad):
     with pytest.raises(StageError):
@@ -120,10 +130,34 @@ def test_refused_projections():
 
 
 def test_dead_letters_take_the_whole_actual(spark):
-    t = topic(spark, [("1", {"id": "1", "name": "a"}), ("2", {"id": "2"})], "id string, name string")
-    t = t.unionByName(t.where("idx = 1").withColumn("seq", F.lit(1)))
-    ok, dead = dead_letters(t, {"keyPath": "$.id", "rules": [{"set": [{"column": "name", "from": "$.name"}]}]})
-    assert (ok.count(), dead.count()) == (1, 2)
+    out = [(0, 0, "t", "1", "row", 0, '{"id":"1","name":null}'), (1, 0, "t", "2", "row", 0, '{"id":"2","name":"b"}'), (1, 1, "t", "3", "row", 0, '{"id":"3"}'), (2, 0, "t", "4", "row", 0, '{"id":"4","name":"x","skip":true}')]
+    t = L.typed(spark.createDataFrame(out, "idx long, seq int, topic string, key string, variant string, generation long, data string"), "t", "id string, name string, skip boolean", raw=True)
+    rules = [{"when": [{"path": "$.id", "notEquals": "4"}], "set": [{"column": "name", "from": "$.name"}]}]
+    ok, gone = dead_letters(t, {"keyPath": "$.id", "rules": rules})
+    assert (ok.count(), gone.count()) == (2, 2)
+    p = {"db": "d", "table": "t", "primaryKey": "id", "columns": ["id", "name"], "topic": "t", "keyPath": "$.id", "rules": rules}
+    assert rows(project(p, {"t": t})) == [("1", None)] and rows(dead(p, {"t": t}).select("key")) == [("2",), ("3",)]
+
+
+def test_refreshes_leave_lookups_and_fans_alone(spark):
+    d = topic(spark, [("1", {"name": "one", "_gen": 1}), ("", 2)], "name string")
+    t = topic(spark, [("a", {"id": "a", "on": "1"})], "id string, on string")
+    p = {"db": "d", "table": "t", "primaryKey": "id", "columns": ["id", "n"], "source": [{"topic": "d", "lookup": {"name": "dim"}}, {"topic": "t", "keyPath": "$.id", "rules": [{"set": [{"column": "n", "lookup": "dim", "on": "$.on", "select": "$.name"}]}]}]}
+    assert rows(project(p, {"d": d, "t": t})) == [("a", "one")]
+
+
+def test_mixed_values_and_expressions_that_begin_with_a_path(spark):
+    out = [(i, 0, "t", str(i), "row", 0, json.dumps({"v": v, "a": 5, "b": i})) for i, v in enumerate(["x", 2, True, 10.50, "x", {"o": 1}, None, False])]
+    t = L.typed(spark.createDataFrame(out, "idx long, seq int, topic string, key string, variant string, generation long, data string"), "t", "v variant, a int, b int")
+    s = {"name": "s", "from": "t", "keyPath": "$.a", "reduce": "aggregate", "emit": [{"field": "all", "collect": "$.v"}, {"field": "each", "collect": "$.v", "distinct": True}, {"field": "d", "sum": "$.a-$.b"}]}
+    r = flat(Graph({"t": t}, [s]).out["s"]).select(F.to_json(F.col("all")).alias("all"), F.to_json("each").alias("each"), "d").first()
+    assert (r["all"], r.each, int(r.d)) == ('[2,10.5,"x","x",false,true]', '[2,10.5,"x",false,true]', 12)
+
+
+def test_plain_fans_take_the_key_path_as_identity(spark):
+    t = topic(spark, [("1", {"xs": [{"e": 1, "v": "a"}, {"e": 2, "v": "b"}]})], "xs array<struct<e: int, v: string>>")
+    s = {"name": "s", "from": "t", "forEach": "$.xs[*]", "keyPath": "$.e", "emit": [{"field": "v", "from": "$.v"}]}
+    assert rows(flat(Graph({"t": t}, [s]).out["s"])) == [("1", "a"), ("2", "b")]
 
 
 def test_mirror_deletes_and_sweeps(spark):
@@ -192,38 +226,100 @@ SCHEMA = "idx long, seq int, topic string, key string, variant string, generatio
 STAGE = [{"name": "s", "from": "t", "keyPath": "$.g", "reduce": "aggregate", "emit": [{"field": "n", "count": True}, {"field": "v", "sum": "$.v"}]}]
 
 
+GRAPH = [
+    {"name": "s", "from": "t", "keyPath": "$.g", "when": [{"path": "$.v", "lessThan": 8}], "join": [{"topic": "d", "on": "$.g", "as": "dim", "optional": True}], "reduce": "aggregate", "emit": [{"field": "n", "count": True}, {"field": "v", "sum": "$.v"}, {"field": "w", "max": "$.dim.w"}]},
+    {"name": "p", "from": "t", "keyPath": "$.g", "forEach": "$.xs[*]", "elementKey": "$.e", "keyPath": "$.e", "reduce": "aggregate", "emit": [{"field": "n", "count": True}]},
+    {"name": "only", "from": "t", "keyPath": "$.g", "join": [{"from": "p", "on": "$.v"}, {"topic": "d", "on": "$.g", "absent": True}], "reduce": "aggregate", "emit": [{"field": "n", "count": True}]},
+    {"name": "big", "from": "s", "keyPath": "$.n", "reduce": "aggregate", "emit": [{"field": "groups", "count": True}]},
+    {"name": "m", "merge": ["s", "only"], "emit": [{"field": "d", "expr": "coalesce($.s.n, 0) * 10 + coalesce($.only.n, 0)"}]},
+]
+DDL = {"t": "g string, v int, xs array<struct<e: int>>", "d": "w int"}
+
+
+def random_log(rng, n=60):
+    out = []
+    for i in range(n):
+        r = rng.random()
+        if r < 0.05:
+            out.append((i, 0, "t", "", "refresh", i // 10, None))
+        elif r < 0.25:
+            out.append((i, 0, "d", rng.choice("abc"), "delete" if rng.random() < 0.3 else "row", 0, json.dumps({"w": rng.randrange(9)})))
+        else:
+            body = {"g": rng.choice("abc"), "v": rng.randrange(10), "xs": [{"e": rng.randrange(4)} for _ in range(rng.randrange(3))]}
+            out.append((i, 0, "t", str(rng.randrange(8)), "delete" if rng.random() < 0.2 else "row", rng.randrange(i // 10 + 1), json.dumps(body)))
+    return out
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_replay_with_duplicates_converges(spark, tmp_path, seed):
+def test_batches_in_any_order_and_twice_converge(spark, tmp_path, seed):
     import random
 
     rng = random.Random(seed)
-    log = [(i, 0, "t", str(rng.randrange(6)), "delete" if rng.random() < 0.2 else "row", 0, json.dumps({"g": rng.choice("ab"), "v": rng.randrange(9)})) for i in range(40)]
-    define = lambda df: flat(Graph({"t": L.typed(df, "t", "g string, v int")}, STAGE).out["s"])
-    want = rows(define(spark.createDataFrame(log, SCHEMA)))
-    view = View(spark, str(tmp_path / "v"), SCHEMA, define, STAGE)
+    log = random_log(rng)
+    whole = spark.createDataFrame(log, SCHEMA)
+    graph = Graph({t: L.typed(whole, t, ddl) for t, ddl in DDL.items()}, GRAPH)
+    view = View(spark, str(tmp_path / "v"), DDL, GRAPH, buckets=3)
     again = log + rng.sample(log, 15)
     rng.shuffle(again)
-    for b in range(4):
-        view.apply(spark.createDataFrame(again[b::4], SCHEMA), b)
-    view.apply(spark.createDataFrame(again[1::4], SCHEMA), 1)
-    view.rebuild(9)
-    assert rows(view.table()) == want
+    for b in range(3):
+        view.apply(spark.createDataFrame(again[b::3], SCHEMA), b)
+    view.apply(spark.createDataFrame(again[1::3], SCHEMA), 1)
+    for name in graph.out:
+        assert rows(view.table(name)) == rows(flat(graph.out[name])), name
+    if seed == 1:
+        return
+    again = View(spark, str(tmp_path / "v"), DDL, GRAPH, buckets=5)  # goes on from what is there
+    assert again.store.buckets == 3 and rows(again.table()) == rows(view.table())
+    again.rebuild(whole)
+    assert rows(again.table()) == rows(flat(graph.out["m"]))
+
+
+def test_a_batch_reads_and_writes_only_the_buckets_of_its_keys(spark, tmp_path):
+    stages = [{"name": "s", "from": "t", "keyPath": "$.g", "reduce": "aggregate", "emit": [{"field": "n", "count": True}]}]
+    view = View(spark, str(tmp_path / "v"), {"t": "g string"}, stages, buckets=16)
+    log = [(i, 0, "t", str(i), "row", 0, json.dumps({"g": f"g{i % 40}"})) for i in range(80)]
+    view.apply(spark.createDataFrame(log, SCHEMA), 0)
+    first = {t: dict(p) for t, p in view.store.now["tables"].items()}
+    view.apply(spark.createDataFrame([(90, 0, "t", "3", "row", 0, '{"g": "g3"}')], SCHEMA), 1)  # the same again: only its own place moves
+    second = view.store.now["tables"]
+    moved = lambda a, b, t: sum(a[t].get(k) != b[t].get(k) for k in a[t])
+    assert moved(first, second, "t") == 1 and moved(first, second, "s") <= 1
+    view.apply(spark.createDataFrame([(91, 0, "t", "3", "row", 0, '{"g": "g4"}')], SCHEMA), 2)
+    third = view.store.now["tables"]
+    assert moved(second, third, "t") == 1 and 1 <= moved(second, third, "s") <= 2 and moved(second, third, "index-s") <= 2
+    assert {r.key: r.n for r in view.table().collect()}["g4"] == 3
 
 
 def test_stream_and_dead_letters(spark, tmp_path):
-    log = [(i, 0, "t", str(i % 3), "row", 0, json.dumps({"g": "a", "v": i})) for i in range(9)]
+    log = [(i, 0, "t", str(i % 3), "row", 0, json.dumps({"g": "a", "v": i}) if i != 4 else "no") for i in range(9)]
     src = str(tmp_path / "in")
     spark.createDataFrame(log, SCHEMA).repartition(3).write.parquet(src)
-    define = lambda df: flat(Graph({"t": L.typed(df, "t", "g string, v int")}, STAGE).out["s"])
-    view = View(spark, str(tmp_path / "v"), SCHEMA, define, STAGE)
-    q = view.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src))
-    q.awaitTermination(60)
+    view = View(spark, str(tmp_path / "v"), {"t": "g string, v int"}, STAGE, buckets=2)
+    supervised(lambda: view.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)))
     assert [(r[0], r[1], int(r[2])) for r in rows(view.table())] == [("a", 3, 21)]
+    assert lag(spark.createDataFrame([*log, (20, 0, "t", "9", "row", 0, "{}")], SCHEMA), view).first().behind == 1
+    assert [(r.idx, r.reason, r.acknowledged) for r in view.dead.list().collect()] == [(4, "no JSON", False)]
     d = DeadLetters(spark, str(tmp_path / "dead"))
+    assert d.list().count() == 0
     d.record(spark.createDataFrame(log[:2], SCHEMA), "test")
+    d.acknowledge(d.list().where("idx = 0"))
     got = []
-    d.replay(lambda df: got.append(df.count()))
-    assert got == [2] and visible(spark.createDataFrame(log, SCHEMA), 3).count() == 4
+    d.replay(lambda df: got.append([r.idx for r in df.collect()]))
+    assert got == [[1]] and visible(spark.createDataFrame(log, SCHEMA), 3).count() == 4
+
+
+def test_supervision_parks_what_does_not_go_on():
+    class Fails:
+        def __init__(self, at):
+            self.lastProgress = {"batchId": at}
+
+        def awaitTermination(self):
+            raise RuntimeError("down")
+
+    pauses, at = [], iter([0, 0, 1, 1, 1, 1])
+    with pytest.raises(Parked):
+        supervised(lambda: Fails(next(at)), most=3, first=1, longest=3, sleep=pauses.append)
+    assert pauses == [1, 2, 1, 2, 3]
 
 
 def test_affected_keys(spark):

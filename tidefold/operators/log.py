@@ -23,9 +23,11 @@ def envelope(df: DataFrame, idx: Column, key: Column, variant: Column | None = N
     )
 
 
-def typed(log: DataFrame, topic: str, schema: str) -> DataFrame:
-    """One topic of a JSON log with its payload read by the least schema that the view needs."""
-    return log.where(F.col("topic") == topic).select("idx", "seq", "key", "variant", "generation", F.from_json("data", schema).alias("payload"))
+def typed(log: DataFrame, topic: str, schema: str, raw: bool = False) -> DataFrame:
+    """One topic of a JSON log with its payload read by the least schema that the view needs.
+
+    raw: keep the JSON text as ``data``, by which a path that is null is told from one that is missing."""
+    return log.where(F.col("topic") == topic).select("idx", "seq", "key", "variant", "generation", F.from_json("data", schema).alias("payload"), *(["data"] if raw else []))
 
 
 def classified(log: DataFrame) -> DataFrame:
@@ -51,19 +53,29 @@ def highwater(log: DataFrame) -> DataFrame:
     return log.where("source_seq > 0").groupBy("ingest_id").agg(F.max("source_seq").alias("highwater"))
 
 
+def unswept(rows: DataFrame, topic: DataFrame) -> DataFrame:
+    """``rows`` without those that a later refresh marker of the topic leaves behind (1 <= generation < its own).
+
+    A marker sweeps what is retained when it comes, so rows after it stay whatever their generation."""
+    at = F.max(F.struct("idx", "seq")).alias("at")
+    marks = topic.where(F.col("variant") == "refresh").groupBy("generation").agg(at).agg(F.collect_list(F.struct("at", "generation")).alias("_marks"))
+    out = rows.join(F.broadcast(marks), how="cross")  # one row, with an entry for each refresh of the topic
+    left = F.exists("_marks", lambda m: (m.generation > F.col("generation")) & (m.at > F.struct("idx", "seq")))
+    return out.where(~((F.col("generation") >= 1) & left)).drop("_marks")
+
+
 def swept(topic: DataFrame) -> DataFrame:
-    """Without the rows that the last refresh marker leaves behind (1 <= generation < its own)."""
-    mark = topic.where(F.col("variant") == "refresh").agg(F.max("generation").alias("_mark"))
-    out = topic.where(F.col("variant") != "refresh").join(F.broadcast(mark), how="cross")  # one row
-    stale = (F.col("generation") >= 1) & (F.col("generation") < F.coalesce("_mark", F.lit(0)))
-    return out.where(~stale).drop("_mark")
+    """The rows and deletes of a topic whose keys come once, without those that a refresh left behind."""
+    return unswept(topic.where(F.col("variant") != "refresh"), topic)
 
 
 def latest(topic: DataFrame, keep_deletes: bool = False, sweep: bool = True) -> DataFrame:
-    """The last version by key; one aggregation with partial results."""
-    rows = swept(topic) if sweep else topic.where(F.col("variant") != "refresh")
+    """The last version by key; one aggregation with partial results. A key whose last version is stale is
+    gone, also if an earlier version isn't."""
+    rows = topic.where(F.col("variant") != "refresh")
     last = rows.groupBy("key").agg(F.max_by(F.struct("idx", "seq", "variant", "generation", "payload"), F.struct("idx", "seq")).alias("_v"))
     out = last.select("key", "_v.*")
+    out = unswept(out, topic) if sweep else out
     return out if keep_deletes else out.where(F.col("variant") == "row")
 
 

@@ -13,48 +13,178 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scope import Scope
+from ..functions.expr import parse
+from ..functions.keys import decode_composite
+from ..functions.scope import Scope, steps
 from ..functions.when import checked, matches
 from .log import latest, swept
 from .stages import Graph, StageError, _value, key_of, out_column
 
 SOURCE = {"topic", "from", "keyPath", "when", "onDelete", "rules", "aggregate", "lookup", "forEach", "normalize", "rowOwner"}
-ON_DELETE = ("delete-row", "delete-rows", "clear", "ignore", "remove-from-aggregate")
 
 
 class ProjectionError(ValueError):
     """The projection is refused."""
 
 
+RULE, SET = {"when", "set"}, {"column", "from", "value", "null", "expr", "lookup", "on", "select"}
+AGGREGATE, ELEMENT, SCALAR = {"column", "elementKey", "elementKeyType", "element", "scalar"}, {"field", "from", "lookup", "on", "select"}, {"column", "op", "field", "ofType", "where"}
+
+
+def _only(where: str, given: dict, known: set[str]) -> None:
+    if extra := set(given) - known:
+        raise ProjectionError(f"{where}: unknown keys {sorted(extra)}")
+
+
 def validated(p: dict) -> dict:
-    extra = set(p) - {"db", "table", "primaryKey", "columns", "topic", "keyPath", "rules", "source", "stage"}
-    if extra:
-        raise ProjectionError(f"unknown keys {sorted(extra)}")
-    columns = {c["name"] if isinstance(c, dict) else c for c in p["columns"]}
+    """Admission of a projection; the first fault is named with its place."""
+    _only("projection", p, {"db", "table", "primaryKey", "columns", "topic", "keyPath", "rules", "onDelete", "when", "source", "stage"})
+    named = [c["name"] if isinstance(c, dict) else c for c in p["columns"]]
+    columns, pk = set(named), [p["primaryKey"]] if isinstance(p.get("primaryKey"), str) else list(p.get("primaryKey", []))
+    if len(columns) < len(named) or not all(named):
+        raise ProjectionError("columns have names, each once")
+    if p.get("primaryKey") is not None and (not pk or len(set(pk)) < len(pk) or set(pk) - columns):
+        raise ProjectionError("primaryKey names declared columns, each once")
+    sources = p.get("source") or [{k: p[k] for k in ("topic", "keyPath", "rules", "onDelete", "when") if k in p}]
+    lookups: set[str] = set()
+    for n, s in enumerate(sources):
+        if "lookup" in s:
+            _only(f"source {n} lookup", s["lookup"], {"name"})
+            if not s["lookup"].get("name") or s["lookup"]["name"] in lookups:
+                raise ProjectionError(f"source {n}: a lookup has a name of its own")
+            lookups.add(s["lookup"]["name"])
+    stages = {x["name"]: x for x in p.get("stage", []) if "name" in x}
     owners: dict[str, int] = {}
-    for n, s in enumerate(p.get("source") or [p]):
-        if p.get("source") and set(s) - SOURCE:
-            raise ProjectionError(f"source {n}: unknown keys {sorted(set(s) - SOURCE)}")
-        if s.get("onDelete", "ignore") not in ON_DELETE:
-            raise ProjectionError(f"source {n}: onDelete is one of {', '.join(ON_DELETE)}")
+    writers = [s for s in sources if "lookup" not in s and "aggregate" not in s]
+    owning = [s for s in writers if s.get("rowOwner")]
+    if len(owning) > 1:
+        raise ProjectionError("one source owns the rows")
+    if len(writers) > 1 and any("from" in s for s in writers) and not owning:
+        raise ProjectionError("several sources write the rows and one is fed by a stage: one of them is the rowOwner")
+    fans: set[str] = set()
+    for n, s in enumerate(sources):
+        at = f"source {n}"
+        _only(at, s, SOURCE)
+        if ("topic" in s) == ("from" in s):
+            raise ProjectionError(f"{at}: either topic or from")
+        if sum(k in s for k in ("rules", "aggregate", "lookup")) != 1:
+            raise ProjectionError(f"{at}: one of rules, aggregate, lookup")
+        if s.get("normalize") not in (None, "lower"):
+            raise ProjectionError(f"{at}: normalize is lower")
         if isinstance(s.get("when"), list):
             checked(s["when"])
-        mine = {x["column"] for r in s.get("rules", []) for x in r["set"]}
-        if a := s.get("aggregate"):
-            mine |= {a["column"]} if "column" in a else set()
-            mine |= {x["column"] for x in a.get("scalar", [])}
-        for r in s.get("rules", []):
-            for x in r["set"]:
-                if sum(k in x for k in ("from", "value", "null", "expr", "lookup")) != 1:
-                    raise ProjectionError(f"column {x['column']}: exactly one of from, value, null, expr, lookup")
+        plain = "rules" in s and not s.get("forEach")
+        if s.get("rowOwner") and not plain:
+            raise ProjectionError(f"{at}: only a plain source of rules owns rows")
+        if owning and plain and not s.get("rowOwner") and "from" not in s:
+            raise ProjectionError(f"{at}: beside a row owner other writers are fed by stages")
+        if "from" in s:
+            if "from" in s and p.get("stage") and s["from"] not in stages:
+                raise ProjectionError(f"{at}: no stage {s['from']}")
+            if "rules" not in s or s.get("forEach"):
+                raise ProjectionError(f"{at}: what a stage feeds has rules")
+            keys = stages.get(s["from"], {}).get("keyPath")
+            if keys is not None and pk and (1 if isinstance(keys, str) else len(keys)) != len(pk):
+                raise ProjectionError(f"{at}: the stage's key and the primary key have as many parts")
+        how = s.get("onDelete", "ignore")
+        fits = ("remove-from-aggregate", "ignore") if "aggregate" in s else ("delete-rows", "ignore") if s.get("forEach") else ("clear", "ignore") if "from" in s and owning and not s.get("rowOwner") else ("delete-row", "ignore") if "from" in s else ("delete-row", "clear", "ignore")
+        if "lookup" not in s and how not in fits:
+            raise ProjectionError(f"{at}: onDelete is one of {', '.join(fits)}")
+        if s.get("forEach"):
+            if not s["forEach"].endswith("[*]") or (len(pk) > 1):
+                raise ProjectionError(f"{at}: forEach names an array ([*]) and the key has one column")
+            if s["topic"] in fans:
+                raise ProjectionError(f"{at}: a topic is fanned once")
+            fans.add(s["topic"])
+        paths = s.get("keyPath", [])
+        if plain and "topic" in s and pk and (1 if isinstance(paths, str) else len(paths)) != len(pk):
+            raise ProjectionError(f"{at}: one key path for each key column")
+        mine = _rules(at, s.get("rules"), columns, set(pk), lookups, len(pk)) if "rules" in s else _aggregate(at, s["aggregate"], columns, set(pk), lookups) if "aggregate" in s else set()
+        if "aggregate" in s and len(pk) > 1:
+            raise ProjectionError(f"{at}: an aggregate needs a key of one column")
+        if how == "clear" and not mine:
+            raise ProjectionError(f"{at}: there is nothing to clear")
         for c in mine:
-            if c not in columns:
-                raise ProjectionError(f"column {c} isn't declared")
             if owners.setdefault(c, n) != n:
                 raise ProjectionError(f"column {c} has two sources")
     return p
 
 
+def _rules(at: str, rules: list[dict] | None, columns: set[str], pk: set[str], lookups: set[str], arity: int) -> set[str]:
+    """The columns that rules write."""
+    if not rules:
+        raise ProjectionError(f"{at}: no rules")
+    joins: dict[str, tuple] = {}
+    out: set[str] = set()
+    for n, r in enumerate(rules):
+        where = f"{at} rule {n}"
+        _only(where, r, RULE)
+        if isinstance(r.get("when"), list):
+            checked(r["when"])
+        if not r.get("set"):
+            raise ProjectionError(f"{where}: set is empty")
+        seen: set[str] = set()
+        for x in r["set"]:
+            c = x.get("column")
+            _only(f"{where} column {c}", x, SET)
+            if c not in columns or c in pk or c in seen:
+                raise ProjectionError(f"{where}: column {c} is declared, no key, and set once")
+            seen.add(c)
+            if sum(k in x for k in ("from", "value", "null", "expr", "lookup")) != 1:
+                raise ProjectionError(f"column {c}: exactly one of from, value, null, expr, lookup")
+            if "value" in x and not isinstance(x["value"], (str, int, float, bool)):
+                raise ProjectionError(f"column {c}: value is a scalar")
+            if "expr" in x:
+                parse(x["expr"])
+            if "lookup" in x:
+                if x["lookup"] not in lookups or not x.get("on") or not x.get("select") or arity > 1:
+                    raise ProjectionError(f"column {c}: a lookup that is declared, with on and select, and a key of one column")
+                if joins.setdefault(c, (x["lookup"], x["on"], x["select"])) != (x["lookup"], x["on"], x["select"]):
+                    raise ProjectionError(f"column {c}: one lookup in all rules")
+            elif "on" in x or "select" in x:
+                raise ProjectionError(f"column {c}: on and select go with lookup")
+        out |= seen
+    return out
+
+
+def _aggregate(at: str, a: dict, columns: set[str], pk: set[str], lookups: set[str]) -> set[str]:
+    """The columns that an aggregate writes."""
+    _only(f"{at} aggregate", a, AGGREGATE)
+    if "column" not in a and not a.get("scalar"):
+        raise ProjectionError(f"{at}: an aggregate has an array column, scalars, or both")
+    if a.get("elementKeyType", "text") not in ("text", "number"):
+        raise ProjectionError(f"{at}: elementKeyType is text or number")
+    if "column" in a and (not a.get("elementKey") or not a.get("element")):
+        raise ProjectionError(f"{at}: an array column takes elementKey and element")
+    fields: set[str] = set()
+    for e in a.get("element", []):
+        _only(f"{at} element {e.get('field')}", e, ELEMENT)
+        if not e.get("field") or e["field"] in fields:
+            raise ProjectionError(f"{at}: element fields have names, each once")
+        fields.add(e["field"])
+        if "lookup" in e and (e["lookup"] not in lookups or "from" in e or not e.get("on") or not e.get("select")):
+            raise ProjectionError(f"{at} element {e['field']}: a lookup that is declared, with on and select")
+        if "lookup" not in e and ("from" not in e or "on" in e or "select" in e):
+            raise ProjectionError(f"{at} element {e['field']}: from, or lookup with on and select")
+    out = [a["column"]] if "column" in a else []
+    for x in a.get("scalar", []):
+        _only(f"{at} scalar {x.get('column')}", x, SCALAR)
+        if x.get("op") not in ("count", "sum", "min", "max", "countDistinct"):
+            raise ProjectionError(f"{at} scalar {x.get('column')}: op is count, sum, min, max or countDistinct")
+        if ("field" in x) == (x["op"] == "count") or ("ofType" in x and x["op"] not in ("min", "max", "countDistinct")):
+            raise ProjectionError(f"{at} scalar {x['column']}: all but count fold a field; ofType goes with min, max and countDistinct")
+        if x.get("ofType", "number") not in ("text", "number"):
+            raise ProjectionError(f"{at} scalar {x['column']}: ofType is text or number")
+        w = x.get("where")
+        if w is not None and (set(w) - {"field", "equals", "null"} or "field" not in w or ("equals" in w) == bool(w.get("null"))):
+            raise ProjectionError(f"{at} scalar {x['column']}: where has a field and either equals or null")
+        out.append(x["column"])
+    for c in out:
+        if c not in columns or c in pk or out.count(c) > 1:
+            raise ProjectionError(f"{at}: column {c} is declared, no key, and written once")
+    return set(out)
+
+
 def _payload_scope(df: DataFrame) -> Scope:
     return Scope({"": (F.col("payload"), df.schema["payload"].dataType)})
 
@@ -110,21 +240,42 @@ def finished(fold: DataFrame, pk: list[str]) -> DataFrame:
     return fold.where(after(F.col("up"))).select(*pk, "d", *(F.when(after(F.col(f"w_{n}.ord")), F.col(f"w_{n}.v")).alias(n) for n in names))
 
 
-def dead_letters(topic: DataFrame, s: dict) -> tuple[DataFrame, DataFrame]:
-    """(applied, dead): an actual of which an entity matches a rule but lacks a path it reads goes as a whole."""
+def missing(path: str, topic: DataFrame, scope: Scope) -> Column:
+    """Where a path isn't there. A null is there: with the JSON text (``data``) the two are told apart, without it
+    a path is missing where the schema lacks it or a struct on the way to it is null."""
+    v = scope.get(path)
+    if v.fam == "any":
+        return v.col.isNull()
+    if "data" in topic.columns:
+        tail = "$" + "".join(f"[{x}]" if isinstance(x, int) else f"['{x}']" for x in steps(path))
+        return F.try_variant_get(F.expr("try_parse_json(data)"), tail, "variant").isNull()
+    if v.present is not None:
+        return ~v.present
+    way = path.rpartition(".")[0]
+    return scope.get(way).col.isNull() if way not in ("", "$") else F.lit(False)
+
+
+def _bad(topic: DataFrame, s: dict) -> DataFrame | None:
+    """idx of the actuals that the rules of a source can't take; None if there can't be any."""
     scope = _payload_scope(topic)
-    lacks = F.lit(False)
+    lacks = []
+    paths = [s["keyPath"]] if isinstance(s["keyPath"], str) else s["keyPath"]
     for r in s["rules"]:
         hit = (F.col("variant") == "row") & matches(s.get("when"), scope) & matches(r.get("when"), scope)
         for x in r["set"]:
             if "from" in x:
-                lacks = lacks | (hit & scope.get(x["from"]).col.isNull())
+                lacks.append(hit & missing(x["from"], topic, scope))
             elif "expr" in x and (err := _value(x["expr"], scope).err) is not None:
-                lacks = lacks | (hit & F.coalesce(err, F.lit(False)))
-        for p in [s["keyPath"]] if isinstance(s["keyPath"], str) else s["keyPath"]:
-            lacks = lacks | (hit & scope.get(p).col.isNull())
-    bad = topic.where(F.coalesce(lacks, F.lit(False))).select("idx").distinct()
-    return topic.join(bad, "idx", "left_anti"), topic.join(bad, "idx", "left_semi")
+                lacks.append(hit & F.coalesce(err, F.lit(False)))
+        lacks += [hit & (missing(p, topic, scope) | scope.get(p).col.isNull()) for p in paths]
+    return topic.where(F.coalesce(reduce(lambda a, b: a | b, lacks), F.lit(False))).select("idx").distinct() if lacks else None
+
+
+def dead_letters(topic: DataFrame, s: dict) -> tuple[DataFrame, DataFrame]:
+    """(applied, dead): an actual of which an entity matches a rule but lacks a path that it reads, has no key or
+    fails in an expression goes as a whole."""
+    bad = _bad(topic, s)
+    return (topic, topic.limit(0)) if bad is None else (topic.join(bad, "idx", "left_anti"), topic.join(bad, "idx", "left_semi"))
 
 
 def children(topic: DataFrame, s: dict) -> DataFrame:
@@ -180,40 +331,63 @@ def aggregated(kids: DataFrame, a: dict, dims: dict[str, DataFrame]) -> DataFram
 
 
 def fanned(topic: DataFrame, s: dict, pk: str) -> DataFrame:
-    """forEach: rows for the elements of live parents, absolutely reconciled; a parent's delete takes its rows."""
-    live = latest(topic)
-    df = live.select(F.col("key").alias("_in"), F.col("payload").alias("_p"))
+    """forEach: rows for the elements of live parents, absolutely reconciled; a parent's delete takes its rows.
+    Elements of one key write one row: in the order of the log and of the array, the last write of a column stays."""
+    live = latest(topic, sweep=False)
+    df = live.select("idx", "seq", F.col("payload").alias("_p"))
     path = s["forEach"].removesuffix("[*]")
     v = Scope({"": (F.col("_p"), df.schema["_p"].dataType)}).get(path)
-    df = df.select("_in", F.col("_p").alias("_parent"), F.explode(v.col).alias("_p"))
+    df = df.select("idx", "seq", F.col("_p").alias("_parent"), F.posexplode(v.col).alias("_at", "_p"))
     kinds = {f.name: f.dataType for f in df.schema.fields}
     scope = Scope({"": (F.col("_p"), kinds["_p"]), "$parent": (F.col("_parent"), kinds["_parent"])})
     out = df.where(matches(s.get("when"), scope))
-    hits = [(matches(r.get("when"), scope), r) for r in s["rules"]]
-    cols: dict[str, Column] = {}
-    for h, r in hits:
+    hit, cols = rule_columns(s["rules"], scope)
+    order = F.struct("idx", "seq", "_at")
+    made = out.where(hit).select(key_of(s["keyPath"], scope, None, s.get("normalize")).alias(pk), *(F.when(wrote, F.struct(order.alias("ord"), value.alias("v"))).alias(f"w_{n}") for n, (wrote, value) in cols.items()))
+    return made.where(F.col(pk).isNotNull()).groupBy(pk).agg(*(F.max_by(f"w_{n}", F.col(f"w_{n}.ord")).getField("v").alias(n) for n in cols))
+
+
+def rule_columns(rules: list[dict], scope: Scope) -> tuple[Column, dict[str, tuple[Column, Column]]]:
+    """(whether any rule matches, column: (whether it is written, value)); of rules that match the last wins."""
+    hits, cols = [], {}
+    for r in rules:
+        hit = matches(r.get("when"), scope)
+        hits.append(hit)
         for x in r["set"]:
-            prior = cols.get(x["column"], F.lit(None))
-            cols[x["column"]] = F.when(h, _set_value(x, scope)).otherwise(prior)
-    return out.where(reduce(lambda a, b: a | b, [h for h, _ in hits])).select(key_of(s["keyPath"], scope, None, s.get("normalize")).alias(pk), *(c.alias(n) for n, c in cols.items()))
+            wrote, value = cols.get(x["column"], (F.lit(False), F.lit(None)))
+            cols[x["column"]] = wrote | hit, F.when(hit, _set_value(x, scope)).otherwise(value)
+    return reduce(lambda a, b: a | b, hits), cols
+
+
+def stage_fed(stage: DataFrame, s: dict, pk: list[str]) -> DataFrame:
+    """Row key = stage key, its parts if there are several; what no when or no rule matches isn't there."""
+    scope = Scope({"": (F.col("out"), stage.schema["out"].dataType)})
+    hit, cols = rule_columns(s["rules"], scope)
+    parts = [F.col("key")] if len(pk) == 1 else [F.get(decode_composite(F.col("key"), len(pk)), i) for i in range(len(pk))]
+    return stage.where(matches(s.get("when"), scope) & hit).select(*(c.alias(k) for c, k in zip(parts, pk, strict=True)), *(F.when(wrote, value).alias(n) for n, (wrote, value) in cols.items()))
+
+
+def _topic_rules(p: dict) -> list[dict]:
+    """The sources whose rules read a topic's rows."""
+    sources = p.get("source") or [{k: p[k] for k in ("topic", "keyPath", "rules", "onDelete", "when") if k in p}]
+    return [s for s in sources if "topic" in s and "rules" in s and not s.get("forEach")]
 
 
-def stage_fed(stage: DataFrame, s: dict, pk: str) -> DataFrame:
-    """Row key = stage key; what when doesn't match isn't there."""
-    kind = stage.schema["out"].dataType
-    scope = Scope({"": (F.col("out"), kind)})
-    cols = {x["column"]: _set_value(x, scope) for r in s["rules"] for x in r["set"]}
-    return stage.where(matches(s.get("when"), scope)).select(F.col("key").alias(pk), *(c.alias(n) for n, c in cols.items()))
+def dead(p: dict, topics: dict[str, DataFrame]) -> DataFrame:
+    """(source, idx, seq, key) of the entities that ``project`` leaves out, each of whose actuals a source can't take."""
+    out = [dead_letters(topics[s["topic"]], s)[1].select(F.lit(s["topic"]).alias("source"), "idx", "seq", "key") for s in _topic_rules(p)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def project(p: dict, topics: dict[str, DataFrame], discriminators: dict[str, str] | None = None) -> DataFrame:
-    """The table of a projection: primary key as text, then its columns."""
+    """The table of a projection: primary key as text, then its columns. Actuals that its rules can't take
+    aren't applied; ``dead`` has them."""
     validated(p)
     graph = Graph(topics, p.get("stage", []), discriminators)
     pk = [p["primaryKey"]] if isinstance(p["primaryKey"], str) else p["primaryKey"]
     sources = p.get("source") or [{k: p[k] for k in ("topic", "keyPath", "rules", "onDelete", "when") if k in p}]
     names = [c["name"] if isinstance(c, dict) else c for c in p["columns"] if (c["name"] if isinstance(c, dict) else c) not in pk]
-    dims = {s["lookup"]["name"]: latest(topics[s["topic"]]) for s in sources if "lookup" in s}
+    dims = {s["lookup"]["name"]: latest(topics[s["topic"]], sweep=False) for s in sources if "lookup" in s}
     writes, extra, fed, fans, owner = [], [], [], [], None
     for n, s in enumerate(sources):
         if "lookup" in s:
@@ -231,13 +405,13 @@ def project(p: dict, topics: dict[str, DataFrame], discriminators: dict[str, str
                 writes.append(got.select(pk[0], F.struct(F.col("up.idx").alias("idx"), F.col("up.seq").alias("seq"), F.lit(n).alias("source")).alias("ord"), F.lit(True).alias("up"), F.lit(False).alias("del")))
             extra.append(got.drop("up"))
         elif "from" in s:
-            df = stage_fed(graph.out[s["from"]], s, pk[0])
+            df = stage_fed(graph.out[s["from"]], s, pk)
             owner = df if s.get("rowOwner") else owner
             fed += [] if s.get("rowOwner") else [df]
         elif s.get("forEach"):
             fans.append(fanned(topics[s["topic"]], s, pk[0]))
         else:
-            w = rule_writes(topics[s["topic"]], s, pk, n)
+            w = rule_writes(dead_letters(topics[s["topic"]], s)[0], s, pk, n)
             if any(o.get("rowOwner") for o in sources) and not s.get("rowOwner"):
                 w = w.withColumn("up", F.lit(False))
             writes.append(w)
@@ -251,9 +425,9 @@ def project(p: dict, topics: dict[str, DataFrame], discriminators: dict[str, str
     for df in fans:
         out = df if out is None else out.join(df, pk[0], "full_outer")
     if owner is not None:
-        out = owner if out is None else owner.join(out, pk[0], "left")
+        out = owner if out is None else owner.join(out, pk, "left")
     for df in fed:
-        out = df if out is None else out.join(df, pk[0], "left" if owner is not None else "full_outer")
+        out = df if out is None else out.join(df, pk, "left" if owner is not None else "full_outer")
     for s in sources:
         for r in s.get("rules", []):
             for x in r["set"]:
@@ -263,4 +437,4 @@ def project(p: dict, topics: dict[str, DataFrame], discriminators: dict[str, str
     return out.select(*pk, *(n for n in names if n in out.columns))
 
 
-__all__ = ["ProjectionError", "StageError", "project", "swept", "validated"]
+__all__ = ["ProjectionError", "StageError", "dead", "project", "swept", "validated"]

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import evaluate, parse
-from ..functions.keys import composite_key, key_part
-from ..functions.scope import Scope, Value, narrowed
+from ..functions.keys import composite_key, key_part, minimal_decimal
+from ..functions.scope import PathError, Scope, Value, narrowed, steps
 from ..functions.when import checked, matches
 from .log import latest, swept
 
@@ -58,8 +58,10 @@ def validated(stages: list[dict]) -> list[dict]:
             raise bad("liveSet takes deleteWhen")
         if s.get("deleteWhen") and s.get("reduce") != "liveSet":
             raise bad("deleteWhen goes with liveSet")
-        if bool(s.get("forEach")) != bool(s.get("elementKey")):
-            raise bad("forEach and elementKey go together")
+        if s.get("elementKey") and not s.get("forEach"):
+            raise bad("elementKey goes with forEach")
+        if s.get("forEach") and not s.get("elementKey") and (s.get("reduce") or not isinstance(s["keyPath"], str)):
+            raise bad("elements have the key path as their identity only in a plain stage with one key path")
         if not s.get("emit"):
             raise bad("emit is missing")
         for w in ("when", "deleteWhen"):
@@ -78,7 +80,7 @@ def validated(stages: list[dict]) -> list[dict]:
             if "where" in e:
                 checked(e["where"])
             if arms[0] == "expr" or arms[0] in FOLDS[:3] or arms[0] == "collect":
-                parse(e[arms[0]]) if not str(e[arms[0]]).startswith("$") or arms[0] == "expr" else None
+                is_path(str(e[arms[0]])) or parse(e[arms[0]])
         for j in s.get("join", []):
             if set(j) - JOIN or ("topic" in j) == ("from" in j) or not j.get("on"):
                 raise bad("a join has on and either topic or from")
@@ -97,8 +99,16 @@ def fingerprint(stages: list[dict]) -> str:
     return hashlib.sha256(json.dumps(stages, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def is_path(text: str) -> bool:
+    try:
+        steps(text)
+    except PathError:
+        return False
+    return True
+
+
 def _value(text: str, scope: Scope) -> Value:
-    return scope.get(text) if text.startswith("$") and all(op not in text for op in " +*/") else evaluate(text, scope)
+    return scope.get(text) if is_path(text) else evaluate(text, scope)
 
 
 def out_column(v: Value) -> Column:
@@ -136,8 +146,12 @@ class Graph:
         self.last: dict[str, DataFrame] = {}
         for s in validated(stages):
             self.out[s["name"]] = self.merge(s) if "merge" in s else self.stage(s)
-            own = s.get("merge", [None])[0]
-            self.key_rules[s["name"]] = (s.get("keyType"), s.get("normalize")) if "merge" not in s else self.key_rules[own if isinstance(own, str) else own["stage"]]
+            self.told(s)
+
+    def told(self, s: dict) -> None:
+        """How keys of the stage are made, for those that look them up."""
+        own = s.get("merge", [None])[0]
+        self.key_rules[s["name"]] = (s.get("keyType"), s.get("normalize")) if "merge" not in s else self.key_rules[own if isinstance(own, str) else own["stage"]]
 
     def current(self, topic: str) -> DataFrame:
         if topic not in self.last:
@@ -158,18 +172,36 @@ class Graph:
         return Scope(rows | {a: (F.col(f"_a_{a}"), kinds[f"_a_{a}"]) for a in aliases})
 
     def stage(self, s: dict) -> DataFrame:
-        df = self.inputs(s)
+        return self.folded(self.members(self.inputs(s), s), s)
+
+    def members(self, df: DataFrame, s: dict) -> DataFrame:
+        """The inputs (_in, _p), or their elements, that the stage takes, with their keys and sources (_key, _src, _dead)."""
+        df = df.withColumn("_src", F.col("_in"))
         if s.get("forEach"):
             df = self.fan(df, s)
         scope = self.scope(df)
         alive = matches(s.get("when"), scope, self.discriminators.get(s["from"]))
         dead = matches(s["deleteWhen"], scope) if s.get("reduce") == "liveSet" else F.lit(False)
-        df = df.where(alive | dead).withColumn("_dead", dead).withColumn("_key", key_of(s["keyPath"], scope, s.get("keyType"), s.get("normalize"))).where(F.col("_key").isNotNull())
+        return df.where(alive | dead).withColumn("_dead", dead).withColumn("_key", key_of(s["keyPath"], scope, s.get("keyType"), s.get("normalize"))).where(F.col("_key").isNotNull())
+
+    def folded(self, df: DataFrame, s: dict) -> DataFrame:
+        """(key, out) of members."""
         aliases: list[str] = []
         for j in s.get("join", []):
             df = self.join(df, j, aliases)
-        scope = self.scope(df, aliases)
-        return self.reduce(df, s, scope)
+        return self.reduce(df, s, self.scope(df, aliases))
+
+    def looked_up(self, df: DataFrame, s: dict) -> DataFrame:
+        """(key, src, on0, on1, ...): which key of each join's other side members look at, found there or not."""
+        aliases: list[str] = []
+        for n, j in enumerate(s.get("join", [])):
+            dim, on = self.other(df, j, aliases)
+            df = df.withColumn(f"on{n}", on)
+            if j.get("as"):
+                name = f"_a_{j['as']}"
+                aliases.append(j["as"])
+                df = df.join(dim.select("_dk", F.col("_d").alias(name)), F.col(f"on{n}") == F.col("_dk"), "left").drop("_dk")
+        return df.select(F.col("_key").alias("key"), F.col("_src").alias("src"), *(f"on{n}" for n in range(len(s.get("join", []))))).distinct()
 
     def fan(self, df: DataFrame, s: dict) -> DataFrame:
         """One row for each identified element; of equal identities in a parent the first stays."""
@@ -177,13 +209,14 @@ class Graph:
         v = self.scope(df).get(path)
         if not isinstance(v.kind, T.ArrayType):
             raise StageError(f"stage {s['name']}: forEach names an array")
-        df = df.select("_in", F.col("_p").alias("_parent"), F.posexplode(v.col).alias("_at", "_p"))
-        ident = self.scope(df).get(s["elementKey"])
+        df = df.select("_in", F.col("_p").alias("_parent"), F.posexplode(v.col).alias("_at", "_p"))  # _in is the source's key here
+        ident = self.scope(df).get(s.get("elementKey") or s["keyPath"])
         df = df.withColumn("_id", ident.col.cast("string")).where(F.col("_id").isNotNull())
         first = df.groupBy("_in", "_id").agg(F.min_by(F.struct("_parent", "_p"), "_at").alias("_v"))
-        return first.select(composite_key([F.col("_in"), F.col("_id")]).alias("_in"), "_v._parent", "_v._p")
+        return first.select(composite_key([F.col("_in"), F.col("_id")]).alias("_in"), F.col("_in").alias("_src"), "_v._parent", "_v._p")
 
-    def join(self, df: DataFrame, j: dict, aliases: list[str]) -> DataFrame:
+    def other(self, df: DataFrame, j: dict, aliases: list[str]) -> tuple[DataFrame, Column]:
+        """((_dk, _d) of a join's other side, the key that rows of ``df`` look up there)."""
         scope = self.scope(df, aliases)
         if "from" in j:
             dim = self.out[j["from"]].select(F.col("key").alias("_dk"), F.col("out").alias("_d"))
@@ -196,7 +229,11 @@ class Graph:
         if j.get("where"):
             kind = {f.name: f.dataType for f in dim.schema.fields}["_d"]
             dim = dim.where(matches(j["where"], Scope({"": (F.col("_d"), kind)})))
-        df = df.withColumn("_on", key_of(j["on"], scope, j.get("onType", key_type), j.get("normalize", normalize)))
+        return dim, key_of(j["on"], scope, j.get("onType", key_type), j.get("normalize", normalize))
+
+    def join(self, df: DataFrame, j: dict, aliases: list[str]) -> DataFrame:
+        dim, looked = self.other(df, j, aliases)
+        df = df.withColumn("_on", looked)
         on = F.col("_on") == F.col("_dk")
         if not j.get("as"):
             return df.join(dim.select("_dk"), on, "left_anti" if j.get("absent") else "left_semi").drop("_on")
@@ -242,11 +279,13 @@ class Graph:
             x, ok = narrowed(v, "num")
             return F.sum(only(x if v.fam == "num" else F.when(ok, x)))
         if v.fam == "any":
-            if arm == "collect":
-                raise StageError("collect takes a field of one type")
-            # numbers before texts before booleans
+            # numbers before texts before booleans; other values aren't taken
             n, t, b = (narrowed(v, f) for f in ("num", "str", "bool"))
-            rank = F.struct(F.when(n[1], 1).when(t[1], 2).when(b[1], 3), F.when(n[1], n[0]), F.when(t[1], t[0]), F.when(b[1], b[0]))
+            rank = F.struct(F.when(n[1], 1).when(t[1], 2).when(b[1], 3).alias("of"), F.when(n[1], n[0]).alias("n"), F.when(t[1], t[0]).alias("t"), F.when(b[1], b[0]).alias("b"))
+            if arm == "collect":
+                taken = only(F.when(n[1] | t[1] | b[1], rank))
+                text = lambda x: F.when(x.of == 1, minimal_decimal(x.n.cast("string"))).when(x.of == 2, F.regexp_extract(F.to_json(F.struct(x.t.alias("v"))), r"^\{\"v\":(?s)(.*)\}$", 1)).otherwise(x.b.cast("string"))
+                return F.transform(F.sort_array(F.collect_set(taken) if e.get("distinct") else F.collect_list(taken)), lambda x: F.parse_json(text(x)))
             pick = F.max_by if arm == "max" else F.min_by
             return pick(only(F.to_json(v.col)), only(F.when(n[1] | t[1] | b[1], rank)))
         x = v.number() if v.fam == "num" else v.col

@@ -6,6 +6,7 @@ pos int, tbl string, and before / after structs of the table's columns.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,20 +92,65 @@ def refresh_marker(spark: SparkSession, topic: str, idx: int, generation: int) -
     return spark.createDataFrame([(idx, 0, topic, "", "refresh", None, generation)], "idx long, seq int, topic string, key string, variant string, data string, generation long")
 
 
-def from_changes(feed: DataFrame, routes: dict[str, str], primary_key: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Route:
+    """A table, the topic that it feeds, its key, and what of its columns goes into a body (all, if none are named)."""
+
+    table: str
+    topic: str
+    primary_key: tuple[str, ...]
+    columns: tuple[str, ...] = ()
+    json_columns: tuple[str, ...] = ()
+
+
+def routed(routes: list[Route]) -> list[Route]:
+    """Admission of the routes of a source: a table feeds one topic, a topic has one table, a key isn't empty."""
+    for what, names in (("table", [r.table.lower() for r in routes]), ("topic", [r.topic for r in routes])):
+        if twice := {n for n in names if names.count(n) > 1}:
+            raise ValueError(f"{what} {sorted(twice)[0]} is named twice")
+    for r in routes:
+        if not r.primary_key or len(set(r.primary_key)) < len(r.primary_key):
+            raise ValueError(f"table {r.table}: the key has columns, each once")
+    return routes
+
+
+def from_changes(feed: DataFrame, routes: list[Route], generation: int = 0) -> DataFrame:
     """Log rows of a change feed: deletes are tombstones, an update that changes the key is an upsert of
-    the new and a tombstone of the old one, truncation isn't propagated; a transaction shares its idx."""
-    if len(set(routes)) < len(routes):
-        raise ValueError("a table feeds one topic")
-    key = lambda side: composite_key([F.col(f"{side}.{c}").cast("string") for c in primary_key])
-    old, new = key("before"), key("after")
-    body = F.to_json("after")
+    the new and a tombstone of the old one, truncation isn't propagated; a transaction shares its idx.
+
+    Bodies are those of ``from_table``. before and after have the columns of all routed tables; rows carry
+    the generation of the source's last snapshot, so a refresh doesn't sweep what the feed wrote since."""
+    kinds = {f.name: f.dataType for f in feed.schema["after"].dataType.fields}
+    old = new = body = topic = None
+    for r in routed(routes):
+        key = lambda side, r=r: composite_key([F.col(f"{side}.{c}").cast("string") for c in r.primary_key])
+        made = key("before"), key("after"), rendered([(c, kinds[c]) for c in r.columns or kinds], r.json_columns, "after."), F.lit(r.topic)
+        here = F.col("tbl") == r.table
+        old, new, body, topic = (F.when(here, m) if x is None else x.when(here, m) for x, m in zip((old, new, body, topic), made, strict=True))
     upsert = F.struct(new.alias("key"), F.lit("row").alias("variant"), body.alias("data"))
     gone = F.struct(old.alias("key"), F.lit("delete").alias("variant"), F.lit(None).cast("string").alias("data"))
     acts = F.when(F.col("op") == "delete", F.array(gone)).when((F.col("op") == "update") & (old != new), F.array(upsert, gone)).when(F.col("op").isin("insert", "update"), F.array(upsert))
-    topic = F.element_at(F.create_map(*[F.lit(x) for kv in routes.items() for x in kv]), F.col("tbl"))
     rows = feed.where(F.col("op") != "truncate").select(F.col("txn").alias("idx"), topic.alias("topic"), F.col("pos"), F.posexplode(acts).alias("_n", "_a")).where(F.col("topic").isNotNull())
-    return rows.select("idx", (F.col("pos") * 2 + F.col("_n")).cast("int").alias("seq"), "topic", "_a.key", "_a.variant", "_a.data", F.lit(0).cast("long").alias("generation"))
+    return rows.select("idx", (F.col("pos") * 2 + F.col("_n")).cast("int").alias("seq"), "topic", "_a.key", "_a.variant", "_a.data", F.lit(generation).cast("long").alias("generation"))
+
+
+def truncations(feed: DataFrame) -> DataFrame:
+    """(txn, tbl) of truncations, which change nothing downstream; whoever runs the source is told of them."""
+    return feed.where(F.col("op") == "truncate").select("txn", "tbl").distinct()
+
+
+def change_files(spark: SparkSession, path: str, columns: str, files_per_batch: int = 100) -> DataFrame:
+    """A change feed as a stream of JSON lines files {op, txn, pos, tbl, before, after}, as log readers write them.
+
+    Files are taken in the order of their times; each is one or more whole transactions."""
+    schema = f"op string, txn long, pos int, tbl string, before struct<{columns}>, after struct<{columns}>"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
+def mysql_json_number(text: Column) -> Column:
+    """A number inside a JSON document in the form in which both the table and the log of changes give it: whole
+    doubles without a fraction, exponents written out, no negative zero; what is no number gives null."""
+    return canonical_number(text)
 
 
 def refilled(changes: DataFrame, columns: list[str], current: DataFrame, key: str) -> DataFrame:
@@ -137,5 +183,10 @@ def drift(old: T.StructType, new: T.StructType, primary_key: list[str], mapped_c
     return [c for c in primary_key if c not in have], [c for c in mapped_columns if c not in have and c not in primary_key and c in old.names]
 
 
-def status(log: DataFrame) -> DataFrame:
-    return log.groupBy("topic").agg(F.count("*").alias("entities"), F.max("idx").alias("last_idx"), F.max("generation").alias("epoch"))
+def status(log: DataFrame, head: int | None = None, snapshot_done: bool = True) -> DataFrame:
+    """By topic: entities, last_idx, epoch, phase ('snapshot' until the first one is whole, then 'streaming'), and
+    with the source's newest position lag and caught_up."""
+    out = log.groupBy("topic").agg(F.count("*").alias("entities"), F.max("idx").alias("last_idx"), F.max("generation").alias("epoch"))
+    out = out.withColumn("phase", F.lit("streaming" if snapshot_done else "snapshot"))
+    lag = F.greatest(F.lit(0).cast("long"), F.lit(head) - F.col("last_idx")) if head is not None else F.lit(None).cast("long")
+    return out.withColumn("lag", lag).withColumn("caught_up", F.lit(snapshot_done) & (F.col("lag") == 0))
