@@ -10,14 +10,17 @@ every slot, so every deadline is met and no slot is idle: at every slot of the w
 less than one block off its target, however many sources there are, also when others have run out.
 Every document is placed once; none is dropped or repeated.
 
-The driver passes over all blocks once and holds a number for each block (8 bytes for ``block_docs``
-documents) and for each source (their number is bounded by ``most_sources``). Null sources are a
-source of their own; null ids come last; repeated rows each get a place; empty tables give empty results.
+The driver passes over all blocks once and holds 8 bytes for each. A block has ``block_docs`` documents, or
+as many more as it takes to keep the blocks to ``most_blocks``, so this is bounded at any size, as is the
+number of sources (``most_sources``). Null sources are a source of their own; null ids come last; repeated
+rows each get a place; empty tables give empty results. A weight is a positive finite number (every
+document is placed, so none can be 0); others are refused.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from array import array
 from bisect import bisect_left
 from collections.abc import Mapping
@@ -68,64 +71,12 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[st
     return out
 
 
-# The periods of rounded weights that follow are exact only for weights k / q; mix_sources doesn't use them.
-
-
-def shares(weights: Mapping[str, float], q: int) -> dict[str, int]:
-    """Whole shares of at least 1 that sum to q, by largest remainders."""
-    q = max(q, len(weights))
-    total, spare = sum(weights.values()), q - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: q - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period(k: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(k) slots, earliest deadline first among released blocks."""
-    q = sum(k.values())
-    waiting = [(0, s, 1) for s in sorted(k)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in k}
-    for slot in range(q):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * q // k[s]), s, j))
-        due, s, j = heapq.heappop(ready)
-        if slot >= due:
-            raise AssertionError("a deadline was missed")
-        out[s].append(slot)
-        if j < k[s]:
-            heapq.heappush(waiting, (j * q // k[s], s, j + 1))
-    return out
-
-
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], q: int = 1000) -> list[dict]:
-    """Phases: first slot, periods, and for each source its share, first block and slots of a period."""
-    left, at, out = {s: n for s, n in blocks.items() if n}, 0, []
-    done = dict.fromkeys(left, 0)
-    while left:
-        k = shares({s: weights[s] for s in left}, q)
-        periods = min(-(-n // k[s]) for s, n in left.items())
-        out.append({"start": at, "periods": periods, "q": sum(k.values()), "k": k, "first": dict(done), "slots": period(k)})
-        at += periods * sum(k.values())
-        for s in list(left):
-            took = min(left[s], periods * k[s])
-            done[s] += took
-            left[s] -= took
-            if not left[s]:
-                del left[s]
-    return out
-
-
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.7, block_docs: int = 8, q: int = 1000, seed: int = 0, most_sources: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.7, block_docs: int = 8, seed: int = 0, most_sources: int = 10_000, most_blocks: int = 4_000_000, scratch: Scratch | None = None) -> DataFrame:
     """All columns of ``docs`` with mix_block (in its source, from 0), mix_slot and mix_position (a
     number that orders all rows); underscores come in front where a name is taken.
 
     weights: target weight by source; None stands for counts to the power ``temperature``. Sources
-    that ``weights`` doesn't name get the least weight given. q has no effect: no weight is rounded."""
+    that ``weights`` doesn't name get the least weight given."""
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "pfair")
     names = docs.columns
     n_block, n_slot, n_pos = (fits(names, c) for c in ("mix_block", "mix_slot", "mix_position"))
@@ -141,8 +92,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
         raise ValueError(f"more than {most_sources} sources")
     if weights is None:
         weights = {s: n**temperature for s, n in counts.items()}
-    least = min([w for w in weights.values() if w > 0], default=1.0)
-    given = {s: max(float(weights.get(s, least)), least * 1e-6) for s in counts}
+    if bad := [s for s, w in weights.items() if not 0 < w < math.inf]:
+        raise ValueError(f"the weight of {bad[0]} isn't a positive number")
+    least = min(weights.values(), default=1.0)
+    given = {s: float(weights.get(s, least)) for s in counts}
+    block_docs = max(block_docs, -(-sum(counts.values()) // most_blocks))
     slot = schedule({s: -(-n // block_docs) for s, n in counts.items()}, given)
     # a row for each source and partition that has it (no more than both together): how many rows come
     # in earlier partitions, and the slots of the blocks that it touches
@@ -152,10 +106,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
         at[s] += n
     kinds = pa.schema([(src, pa.string()), (part, pa.int64()), (head, pa.int64()), (ahead, pa.int64()), (slots, pa.list_(pa.int64()))])
     local = pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
-    # written, so that the planner knows how small it is
-    sched = scratch.write(spark.createDataFrame(local), "slots")
-    if sum(len(x) for x in slot.values()) <= 4_000_000:  # 32 MB; beyond, a join on (source, partition), which are even
-        sched = F.broadcast(sched)
+    # a number for each block and few for each row, so some 40 MB at most_blocks
+    sched = F.broadcast(scratch.write(spark.createDataFrame(local), "slots"))
     placed = dealt.join(sched, [src, part])
     placed = placed.withColumn(row, F.col(row) - F.col(head) + F.col(ahead)).withColumn(n_block, F.floor(F.col(row) / block_docs))
     out = placed.withColumn(n_slot, F.element_at(slots, (F.col(n_block) - F.floor(F.col(ahead) / block_docs) + 1).cast("int")))
