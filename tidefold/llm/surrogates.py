@@ -6,6 +6,14 @@ surrogate from HMAC-SHA256 of a key, so all its mentions in all texts agree. Sur
 lengths, digit and letter classes, case, script and separators, a card's check digit, an address's
 form, a name's gender (from the title) and number of parts. Each mention is written in its own format.
 
+A phone's normal form is its national number; country code and trunk 0 stay as they are written, so
+mentions with and without them agree. In a text, a name found after a title is one person with the
+same name after other titles, with its surname alone after a title (unless two persons have it), and
+with its later and earlier mentions without a title, whole, given name or surname; these are found, too.
+
+The key is an argument or the setting ``spark.tidefold.pii.key``; where neither is given a new one is
+drawn for the run, so that nobody can invert the mapping by trying.
+
 Collision checks keep distinct entities distinct: where two share a surrogate, or a surrogate is
 itself a found entity, all but the first (settled ones first, then the least) draw again until none
 collides. From the eighth attempt on they grow longer (but for IPv4 addresses), so the supply doesn't end.
@@ -19,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fits, table
+from .common import Scratch, fits, slices, table
 
-DEFAULT_KEY = "change-me"
+KEY_SETTING = "spark.tidefold.pii.key"
 _TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "господин": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "doña": "f", "госпожа": "f", "dr": "n", "prof": "n"}
 _GIVEN = {
     "Latin": {"m": "Adam Bruno Cedric David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul Quentin Robert Simon Thomas Victor Walter".split(), "f": "Anna Bella Clara Diana Emma Flora Greta Hanna Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sara Tina Ursula Vera Wanda".split()},
@@ -71,6 +80,21 @@ QUICK = rf"[@=:_]|\+\p{{Nd}}|\p{{Nd}}{{2}}|\p{{Nd}}\.\p{{Nd}}|A[KS]IA|-[0-9A-Za-
 _PLANS = {"1": 11, "7": 11, "33": 11, "34": 11}
 
 
+#: Country codes of two digits; others than these, 1 and 7 have three.
+_TWO = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+
+
+def before_national(raw: str) -> int:
+    """How many digits of a phone number come before the national number: country code, trunk 0 and 00."""
+    if raw.startswith("+") or raw.startswith("00"):
+        body = raw[1:] if raw[0] == "+" else raw[2:]
+        head = regex.match(r"\d+", body)[0]
+        set_off = len(head) <= 3 and len(head) < len(body)
+        code = len(head) if set_off else 1 if head[0] in "17" else 2 if int(head[:2]) in _TWO else 3
+        return code + 2 * (raw[0] == "0") + ("(0)" in raw)
+    return int(raw.startswith(("0", "(0")))
+
+
 def phone(raw: str) -> str:
     """``raw`` without last groups that are too many for a number; empty if it has too few digits."""
     plain = raw.replace("(0)", "")
@@ -88,11 +112,13 @@ def phone(raw: str) -> str:
 
 
 def found(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of the entities of a text."""
-    out = []
-    for m in FINDER.finditer(text):
+    """(start, end, kind, normal form) of the entities of a text, in its order."""
+    out, titled = [], []
+    at = 0
+    while m := FINDER.search(text, at):
         kind = next(k for k in KINDS if m[k] is not None)
         a, b = m.span(kind)
+        at = m.end()
         raw = text[a:b]
         if kind == "email":
             raw = raw.rstrip(".-")
@@ -101,19 +127,64 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         elif kind in ("phone", "card", "ssn"):
             if kind == "phone":
                 raw = phone(raw)
-                b = a + len(raw)
                 if not raw:
                     continue
+                b = at = a + len(raw)  # what was cut off may be another number
             norm = "".join(c for c in raw if c.isdigit())
+            if kind == "phone":
+                norm = norm[before_national(raw) :]
             if kind == "card" and not luhn(norm):
                 continue  # some other long number
         elif kind == "secret" and len(set(raw)) == 1 and not raw[0].isalnum():
             continue  # a mask
         elif kind == "name":
-            norm = _TITLES[m["title"].lower()] + " " + " ".join(raw.split()).casefold()
+            titled.append((a, b, _TITLES[m["title"].lower()], raw))
+            continue
         else:
             norm = raw
         out.append((a, b, kind, norm))
+    return sorted(out + named(text, titled, out)) if titled else out
+
+
+def named(text: str, titled: list[tuple[int, int, str, str]], taken: list[tuple]) -> list[tuple[int, int, str, str]]:
+    """The mentions of the persons found after titles (start, end, gender, name); the normal form is gender and name."""
+    fold = lambda raw: " ".join(raw.split()).casefold()
+    genders: dict[str, set[str]] = {}
+    for _, _, g, raw in titled:
+        genders.setdefault(fold(raw), set()).update(g if g != "n" else "")
+    gender = {name: next(iter(g)) if len(g) == 1 else "n" for name, g in genders.items()}
+    whole: dict[str, list[str]] = {}
+    for name in gender:
+        if " " in name:
+            whole.setdefault(name.split()[-1], []).append(name)
+
+    def person(name: str, g: str) -> str:
+        """The whole name that a surname stands for, if one alone fits."""
+        fits_ = [x for x in whole.get(name, ()) if g == "n" or gender[x] in ("n", g)]
+        return fits_[0] if len(fits_) == 1 else name
+
+    out = []
+    forms: dict[str, set[str]] = {}  # as written without a title: normal forms
+    for a, b, g, raw in titled:
+        name = fold(raw)
+        full = name if " " in name else person(name, g)
+        known = gender[full] if gender[full] != "n" else gender.get(name, "n")
+        norm = f"{known} {full}"
+        out.append((a, b, "name", norm))
+        parts = raw.split()
+        for form in {" ".join(parts), parts[0], parts[-1]}:
+            forms.setdefault(form, set()).add(norm)
+    forms = {form: next(iter(norms)) for form, norms in forms.items() if len(norms) == 1}  # of one person alone
+    if not forms:
+        return out
+    spans = sorted((a, b) for a, b, *_ in [*out, *taken])
+    plain = regex.compile(r"(?<![\p{L}\p{N}@._\-])(?:" + "|".join(r"\s".join(map(regex.escape, f.split())) for f in sorted(forms, key=len, reverse=True)) + r")(?![\p{L}\p{N}_@]|-\p{L})")
+    at = 0
+    for m in plain.finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at == len(spans) or spans[at][0] >= m.end():
+            out.append((*m.span(), "name", forms[" ".join(m[0].split())]))
     return out
 
 
@@ -191,8 +262,7 @@ def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
         good = next(str(c) for c in range(10) if luhn(body + str(c)))
         return body + good
     if kind == "phone":
-        country = norm[:-10] if len(norm) > 10 else ""
-        return country + str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in norm[len(country) + 1 :]) + more
+        return str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in norm[1:]) + more
     if kind == "ssn":
         return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}" + more
     if kind == "aws":
@@ -215,17 +285,25 @@ def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
     return shaped(norm, d, hexa=bool(regex.fullmatch(r"[0-9a-f]+", norm))) + more
 
 
-def written(raw: str, kind: str, made: str) -> str:
-    """A surrogate in the format of one mention."""
+def written(raw: str, kind: str, made: str, norm: str = "") -> str:
+    """A surrogate in the format of one mention; norm: the entity's normal form, of which a name's mention may be a part."""
     if kind in ("phone", "card", "ssn"):
-        digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in raw) + "".join(digits)
+        digits, out, skip = iter(made), [], before_national(raw) if kind == "phone" else 0
+        for c in raw:
+            if c.isdigit() and skip:
+                skip -= 1
+            elif c.isdigit():
+                c = next(digits)
+            out.append(c)
+        return "".join(out) + "".join(digits)
     if kind == "email":
         if raw == raw.upper():
             return made.upper()
         return "".join(x.upper() if c.isupper() else x for c, x in zip(raw, made, strict=False)) if len(raw) == len(made) else made
     if kind == "name":
-        name = made[2:]
+        name, parts, mine = made[2:], norm[2:].split(), raw.casefold().split()
+        if len(mine) < len(parts):  # the surname or the given name alone
+            name = name.split()[-1] if mine[-1] == parts[-1] else name.split()[0]
         return name.upper() if raw.isupper() else name
     return made
 
@@ -234,7 +312,7 @@ def entities(rows: DataFrame) -> DataFrame:
     """(_key, kind, norm) of ``rows`` (_key, text), once for each entity of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out += [(k, *e) for e in sorted({x[2:] for x in found(text.as_py() or "")})]
@@ -244,15 +322,21 @@ def entities(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_key long, kind string, norm string")
 
 
-def assign(distinct: DataFrame, key: str, scratch: Scratch, most_rounds: int = 50) -> DataFrame:
-    """(kind, norm, made): a surrogate for each entity, all different within a kind."""
+def drawn(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (kind, norm, attempt) with made."""
 
-    @F.udf("string")
-    def draw(kind: str, norm: str, attempt: int) -> str:
-        return surrogate(key, kind, norm, attempt)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [surrogate(key, *e) for e in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "norm", "attempt", "made"])
 
-    now = scratch.write(distinct.withColumn("attempt", F.lit(0)).withColumn("made", draw("kind", "norm", "attempt")), "draw")
-    for _ in range(most_rounds):
+    return rows.select("kind", "norm", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, "kind string, norm string, attempt int, made string")
+
+
+def assign(distinct: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(kind, norm, made): a surrogate for each entity, all different within a kind."""
+    now = scratch.write(drawn(distinct.withColumn("attempt", F.lit(0)), key), "draw")
+    while True:  # each kind's supply grows with the attempts, so this ends
         taken = now.select("kind", F.col("norm").alias("made")).withColumn("real", F.lit(True))
         rank = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "norm"))
         seen = now.withColumn("rank", rank).join(taken, ["kind", "made"], "left").withColumn("again", (F.col("rank") > 1) | F.coalesce("real", F.lit(False)))
@@ -261,12 +345,12 @@ def assign(distinct: DataFrame, key: str, scratch: Scratch, most_rounds: int = 5
         if not seen.where("again").limit(1).count():
             return seen.select("kind", "norm", "made")
         fresh = seen.where("again").withColumn("attempt", F.col("attempt") + 1)
-        now = scratch.write(seen.where("NOT again").drop("again").unionByName(fresh.drop("again", "made").withColumn("made", draw("kind", "norm", "attempt"))), "draw")
-    raise RuntimeError("surrogates still collide")
+        now = scratch.write(seen.where("NOT again").drop("again").unionByName(drawn(fresh, key)), "draw")
 
 
-def replace(docs: DataFrame, key: str = DEFAULT_KEY, scratch: Scratch | None = None) -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """All columns of ``docs``, text with surrogates, and pii_entities (mentions; int)."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     scratch, names = scratch or Scratch(docs.sparkSession, "pii"), docs.columns
     count, row, pairs = fits(names, "pii_entities"), fits(names, "_key"), fits(names, "_pairs")
     has = F.coalesce(F.col("text").rlike(QUICK), F.lit(False))
@@ -281,13 +365,13 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, scratch: Scratch | None = N
     schema = joined.select(*names).schema.add(count, "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, counts = [], []
             for text, known in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 by = {(x["kind"], x["norm"]): x["made"] for x in known or ()}
                 out, last, hits = [], 0, found(text) if by else []
                 for a, b, kind, norm in hits:
-                    out += [text[last:a], written(text[a:b], kind, by[kind, norm])]
+                    out += [text[last:a], written(text[a:b], kind, by[kind, norm], norm)]
                     last = b
                 texts.append("".join([*out, text[last:]]) if hits else text)
                 counts.append(len(hits))
