@@ -3,10 +3,12 @@
 Every text gets word, symbol, line and repetition counts. Five transformed statistics of each text
 (logarithms of length, word length, symbols, repeated lines and repeated windows per 100 words, in
 thousandths) form a vector. For each language and source the minimum-covariance-determinant estimate
-is sought: from two starts (medians with quartile scales; plain moments) C-steps keep the share ``H``
-of nearest rows and estimate anew; the start of smaller determinant wins, is corrected for
-consistency, reweighted once, and rows whose Mahalanobis distance exceeds the chi-square quantile
-are rejected. Each statistic has a least scale (``FLOOR``), added to the covariance, so that groups
+is sought from four deterministic starts: medians with quartile scales, plain moments, and the medians
+and scales with the correlations of the rows' directions or of their bent coordinates. C-steps keep the
+share ``H`` of nearest rows and estimate anew: two from each start, then from the one of least
+determinant until no group's log determinant falls by more than ``SETTLED`` (``MOST_STEPS`` at most). That
+one is corrected for consistency, reweighted once, and rows whose Mahalanobis distance exceeds the
+chi-square quantile are rejected. Each statistic has a least scale (``FLOOR``), added to the covariance, so that groups
 in which nearly every value is 0 stay invertible. Groups below ``LEAST`` rows are pooled by language,
 then all together; a pool that is still smaller rejects nothing.
 
@@ -29,7 +31,8 @@ from .common import Scratch, table
 SPACE = r"[\x20\x09-\x0D]"
 #: Least scale of each statistic, in thousandths of its unit.
 FLOOR = (250, 60, 400, 400, 500)
-H, LEAST, STEPS, TAIL = 0.75, 60, 4, 1e-7
+H, LEAST, TAIL = 0.75, 60, 1e-7
+SETTLED, MOST_STEPS = 0.002, 20
 #: Models are broadcast for up to so many groups (some 300 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 10_000
 P = len(FLOOR)
@@ -150,32 +153,73 @@ def _small(model: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(model) if few else model
 
 
+def _cut(far: DataFrame, tags: str) -> DataFrame:
+    """(g, c<tag>): the least bucket of distances up to which a share H of the group lies."""
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"k{t}").alias("k")) for t in tags)))
+    counts = far.select("g", each.alias("e")).groupBy("g", "e.t", "e.k").count()
+    # a group has a few thousand buckets at most
+    upto = counts.selectExpr("g", "t", "k", "sum(count) OVER (PARTITION BY g, t ORDER BY k) AS c", "sum(count) OVER (PARTITION BY g, t) AS n")
+    return upto.where(F.col("c") >= H * F.col("n")).groupBy("g").agg(*(F.min(F.when(F.col("t") == t, F.col("k"))).alias(f"c{t}") for t in tags))
+
+
+def _kept(tags: str) -> list[str]:
+    return ["g", *(c for t in tags for c in [f"det{t}", *(f"m{t}{i}" for i in range(P)), *(f"l{t}{i}{j}" for i, j in MOMENTS)])]
+
+
+def _step(rows: DataFrame, model: DataFrame, tags: str, few: bool) -> DataFrame:
+    """One C-step: the nearest share H of each group's rows under each model of it, estimated anew."""
+    far = rows.join(_small(model, few), "g")
+    for t in tags:
+        far = _distance(far, t).withColumn(f"k{t}", _bucket(f"d{t}"))
+    far = far.select("g", *(f"x{i}" for i in range(P)), *(f"k{t}" for t in tags))
+    near = far.join(_small(_cut(far, tags), few), "g").groupBy("g").agg(*(c for t in tags for c in _sums(t, F.col(f"k{t}") <= F.col(f"c{t}"))))
+    for t in tags:
+        near = _model(near, t)
+    return near.select(*_kept(tags))
+
+
 def estimate(rows: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
     """A model (mean, factor) for each group ``g`` of ``rows`` (g, x0..x4); few: the groups are few enough to broadcast."""
     rows = rows.select("g", *(f"x{i}" for i in range(P)))
     plain = rows.groupBy("g").agg(*_sums("b", F.lit(True)), *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"t{i}") for i in range(P)))
-    zero = {(i, j): (F.pow((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, F.lit(2.0)) + float(FLOOR[i] ** 2)) if i == j else F.lit(0.0) for i, j in MOMENTS}
-    start = _cholesky(_model(plain, "b"), zero, [F.col(f"t{i}")[1].cast("double") for i in range(P)], "a")
-    keep = lambda tags: ["g", *(c for t in tags for c in [f"det{t}", *(f"m{t}{i}" for i in range(P)), *(f"l{t}{i}{j}" for i, j in MOMENTS)])]
-    model = scratch.write(start.select(*keep("ab")), "start")
-    for _ in range(STEPS):
-        far = rows.join(_small(model, few), "g")
-        for t in "ab":
-            far = _distance(far, t).withColumn(f"k{t}", _bucket(f"d{t}"))
-        far = far.select("g", *(f"x{i}" for i in range(P)), "ka", "kb")
-        counts = far.select("g", F.explode(F.array(F.struct(F.lit("a").alias("t"), F.col("ka").alias("k")), F.struct(F.lit("b").alias("t"), F.col("kb").alias("k")))).alias("e")).groupBy("g", "e.t", "e.k").count()
-        # the least bucket up to which a share H of the group lies; a group has a few thousand buckets at most
-        upto = counts.selectExpr("g", "t", "k", "sum(count) OVER (PARTITION BY g, t ORDER BY k) AS c", "sum(count) OVER (PARTITION BY g, t) AS n")
-        cut = upto.where(F.col("c") >= H * F.col("n")).groupBy("g").agg(F.min(F.when(F.col("t") == "a", F.col("k"))).alias("ca"), F.min(F.when(F.col("t") == "b", F.col("k"))).alias("cb"))
-        near = far.join(_small(cut, few), "g").groupBy("g").agg(*_sums("a", F.col("ka") <= F.col("ca")), *_sums("b", F.col("kb") <= F.col("cb")))
-        model = scratch.write(_model(_model(near, "a"), "b").select(*keep("ab")), "step")
-    better = F.col("deta") <= F.col("detb")
-    pick = lambda c: F.when(better, F.col(c.replace("#", "a"))).otherwise(F.col(c.replace("#", "b"))).alias(c.replace("#", "c"))
-    best = model.select("g", *(pick(f"m#{i}") for i in range(P)), *(pick(f"l#{i}{j}") for i, j in MOMENTS))
-    inside = F.col("dc") <= chi2_quantile(0.975, P) * consistency(H)
-    sums = _distance(rows.join(_small(best, few), "g"), "c").groupBy("g").agg(*_sums("r", inside), F.count("*").alias("n_all"))
+    middle = [F.col(f"t{i}")[1].cast("double") for i in range(P)]
+    scale = [F.sqrt(F.pow((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, F.lit(2.0)) + float(FLOOR[i] ** 2)) for i in range(P)]
+    plain = _model(plain, "b").select(*_kept("b"), *(m.alias(f"mid{i}") for i, m in enumerate(middle)), *(c.alias(f"scale{i}") for i, c in enumerate(scale)))
+    plain = scratch.write(plain, "plain")
+    # robust starts about the medians: of each row's direction (spatial signs), and of its bent coordinates (tanh)
+    z = rows.join(_small(plain.select("g", *(f"{c}{i}" for c in ("mid", "scale") for i in range(P))), few), "g")
+    z = z.select("g", *((F.col(f"x{i}") - F.col(f"mid{i}")) / F.col(f"scale{i}") for i in range(P))).toDF("g", *(f"z{i}" for i in range(P)))
+    long = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)))
+    # whole millionths, so that the order of rows doesn't matter
+    whole = lambda c: F.round(1e6 * c).cast("long")
+    z = z.select("g", *(whole(F.when(long > 0, F.col(f"z{i}") / long).otherwise(0.0)).alias(f"s{i}") for i in range(P)), *(whole(F.tanh(f"z{i}")).alias(f"h{i}") for i in range(P)))
+    bent = z.groupBy("g").agg(F.count("*").alias("n"), *(F.sum((F.col(f"{c}{i}") * F.col(f"{c}{j}")).cast("decimal(20,0)")).cast("double").alias(f"{c}{i}{j}") for c in "sh" for i, j in MOMENTS))
+    start = plain.join(bent, "g")
+    unit = lambda i, j: F.lit(1.0 if i == j else 0.0)
+    share = lambda c, i, j: F.col(f"{c}{i}{j}") / F.greatest(F.sqrt(F.col(f"{c}{i}{i}") * F.col(f"{c}{j}{j}")), F.lit(1.0)) if i != j else F.lit(1.0)
+    for tag, part in (("a", unit), ("c", lambda i, j: share("s", i, j)), ("d", lambda i, j: share("h", i, j))):
+        # a little of the diagonal keeps the factor real where coordinates move together
+        cov = {(i, j): (part(i, j) * (1.0 if i == j else 0.95)) * F.col(f"scale{i}") * F.col(f"scale{j}") for i, j in MOMENTS}
+        start = _cholesky(start, cov, [F.col(f"mid{i}") for i in range(P)], tag)
+    model = scratch.write(start.select(*_kept("abcd")), "start")
+    for _ in range(2):
+        halves = [scratch.write(_step(rows, model.select(*_kept(t)), t, few), f"step-{t}") for t in ("ab", "cd")]
+        model = scratch.write(halves[0].join(halves[1], "g"), "steps")
+    least = F.least(*(f"det{t}" for t in "abcd"))
+    pick = lambda c: F.coalesce(*(F.when(F.col(f"det{t}") == least, F.col(c.replace("#", t))) for t in "abcd")).alias(c.replace("#", "e"))
+    best = scratch.write(model.select("g", *(pick(c) for c in ["det#", *(f"m#{i}" for i in range(P)), *(f"l#{i}{j}" for i, j in MOMENTS)])), "best")
+    for _ in range(MOST_STEPS):  # a step lowers the determinant or leaves it, up to the width of a bucket; the lower one is kept
+        new = _step(rows, best, "e", few)
+        both = best.select(*(F.col(c).alias(f"was_{c}") for c in best.columns)).join(new, F.col("was_g") == F.col("g"))
+        lower = F.col("dete") < F.col("was_dete")
+        both = scratch.write(both.select("g", (F.col("was_dete") - F.col("dete")).alias("gain"), *(F.when(lower, F.col(c)).otherwise(F.col(f"was_{c}")).alias(c) for c in _kept("e")[1:])), "step")
+        best = both.drop("gain")
+        if not both.where(F.col("gain") > SETTLED).limit(1).count():
+            break
+    inside = F.col("de") <= chi2_quantile(0.975, P) * consistency(H)
+    sums = _distance(rows.join(_small(best, few), "g"), "e").groupBy("g").agg(*_sums("r", inside), F.count("*").alias("n_all"))
     out = _model(sums, "r", consistency(0.975))
-    return scratch.write(out.select("g", "n_all", "nr", *(f"mr{i}" for i in range(P)), *(f"lr{i}{j}" for i, j in MOMENTS)), "model")
+    return scratch.write(out.select("g", "n_all", "nr", *(f"mr{i}" for i in range(P)), *(f"lr{i}{j}" for i, j in MOMENTS), F.col("detr")), "model")
 
 
 def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
