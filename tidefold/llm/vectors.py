@@ -3,12 +3,16 @@
 Equal vectors of a label are one node. Each label starts as a shard; a shard above ``shard_rows`` nodes
 is split by k-means centres fitted on a bounded sample of it (``sample_rows`` by a hash), level by
 level, and a node goes to every centre not much farther than its nearest (by the chord of the
-threshold, ``overlap`` centres at most), so shards overlap. In a shard each node's nearest candidates
-are pruned robustly (a candidate goes if a kept neighbour is nearer to it by ``ALPHA``). The adjacency
-lists of all shards are united. Then each node is searched for by greedy beam search from its shard's
-medoid over the united lists; once in range the search widens over all nodes within range until none is new.
-Edges and finds are verified by cosine in double precision. ``recall`` audits links against brute
-force for the queries whose id is divisible by 100, in blocks.
+threshold, ``overlap`` centres at most), so shards overlap. What no centres can split (a dense ball of
+unlike vectors) is dealt into blocks, and every two blocks become a shard. In a shard each node's nearest
+candidates, and a few taken at random, which keep the graph in one piece, are pruned robustly (a candidate
+goes if a kept neighbour is nearer to it by ``ALPHA``). The adjacency lists of all shards are united. Then
+each node is searched for by greedy beam search from its shard's medoid over the united lists, in both
+directions, as far as both ends are in the shard; once in range the search widens over all nodes within
+range until none is new. Finds are verified by cosine in double precision, and a pair counts in the least
+shard that holds both, so a shard hands on each node's number of links and as few links as join what is
+joined, never all pairs. ``recall`` audits the links against brute force for the queries whose id is divisible
+by 100, in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without a label, link
 with nothing. Rows with equal or null ids are told apart by their vectors; null ids come last.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, table
 
-DEGREE, CANDIDATES, BEAM, ALPHA = 16, 48, 24, 1.2
+DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 16, 48, 8, 24, 1.2
 
 
 def numbered(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -104,7 +108,12 @@ def shards(nodes: DataFrame, scratch: Scratch, shard_rows: int, sample_rows: int
 
         now = part.drop("count").join(fitted, "shard").mapInArrow(assign, "shard string, k long, embedding array<double>")
     else:
-        done.append(now)
+        now = scratch.write(now, "whole")
+        blocks = now.groupBy("shard").agg(F.ceil(F.count("*") * 2 / shard_rows).cast("int").alias("_n"))
+        own = now.join(blocks, "shard").withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_n")).cast("int"))
+        pair = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o")
+        own = own.select("shard", "k", "embedding", "_b", pair)
+        done.append(own.select(F.concat_ws("+", "shard", F.least("_b", "_o").cast("string"), F.greatest("_b", "_o").cast("string")).alias("shard"), "k", "embedding"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -116,12 +125,15 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     n = len(x)
     if n < 2:
         return [np.zeros(0, np.int64)] * n
-    out = []
+    out, rng = [], np.random.default_rng(n)
     width = min(CANDIDATES, n - 1)
     for at in range(0, n, 1024):
         sim = x[at : at + 1024] @ x.T
         sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
         near = np.argpartition(-sim, width - 1, axis=1)[:, :width]
+        if width < n - 1:  # the last ones give way to far ones
+            near[:, -FAR:] = rng.integers(0, n, (len(near), FAR))
+            near[near == np.arange(at, at + len(near))[:, None]] = at - 1 if at else n - 1
         order = np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable")
         near = np.take_along_axis(near, order, 1)
         dist = 1 - np.take_along_axis(sim, near, 1)
@@ -152,8 +164,6 @@ def search(x: np.ndarray, lists: list[np.ndarray], start: int, q: int, low: floa
             sims.update(zip(new, (x[new] @ x[q]).tolist(), strict=True))
             beam = sorted(beam + new, key=sims.__getitem__, reverse=True)[:BEAM]
     edge = [i for i, s in sims.items() if s >= low]
-    edge.append(q)
-    sims[q] = 1.0
     done = set()
     while edge:
         i = edge.pop()
@@ -168,22 +178,40 @@ def search(x: np.ndarray, lists: list[np.ndarray], start: int, q: int, low: floa
     return np.array([i for i, s in sims.items() if s >= low and i != q], np.int64)
 
 
+def joined(adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, an earlier row) that join what the symmetric matrix joins; fewer than its rows."""
+    out, left = [], np.ones(len(adjacent), bool)
+    for start in range(len(adjacent)):
+        if not left[start]:
+            continue
+        left[start] = False
+        edge = [start]
+        while edge:
+            new = np.flatnonzero(adjacent[edge.pop()] & left)
+            left[new] = False
+            out += [(int(i), start) for i in new]
+            edge += new.tolist()
+    return out
+
+
 def linked(nodes: DataFrame, scratch: Scratch, threshold: float, shard_rows: int, sample_rows: int, overlap: int) -> DataFrame:
-    """Verified links (a > b) between nodes (k, label, embedding)."""
+    """From nodes (k, label, embedding, copies): (a, null, copies of the nodes that a links with in a shard), whose sum
+    over shards is a's links, and (a, b, null), links that join all that is joined."""
     chord = float(np.sqrt(2 - 2 * threshold))
     dealt = shards(nodes, scratch, shard_rows, sample_rows, overlap, chord)
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         k = pdf["k"].to_numpy()
-        return pd.DataFrame({"k": k, "near": [k[i] for i in build(_unit(pdf["embedding"].to_list()))]})
+        return pd.DataFrame({"shard": pdf["shard"], "k": k, "near": [k[i] for i in build(_unit(pdf["embedding"].to_list()))]})
 
-    edges = dealt.groupBy("shard").applyInPandas(graph, "k long, near array<long>")
-    united = scratch.write(edges.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
+    edges = dealt.groupBy("shard").applyInPandas(graph, "shard string, k long, near array<long>")
+    united = edges.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sort_array(F.collect_set("shard")).alias("homes"))
+    united = scratch.write(united.join(nodes.select("k", "copies"), "k"), "adjacency")
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k").reset_index(drop=True)
-        k, x = pdf["k"].to_numpy(), _unit(pdf["embedding"].to_list())
+        k, x, here = pdf["k"].to_numpy(), _unit(pdf["embedding"].to_list()), pdf["shard"].iloc[0]
         # the united lists run in both directions, as far as both ends are here
         place = {int(v): i for i, v in enumerate(k)}
         both: list[set[int]] = [set() for _ in k]
@@ -194,23 +222,25 @@ def linked(nodes: DataFrame, scratch: Scratch, threshold: float, shard_rows: int
                     both[i].add(j)
                     both[j].add(i)
         lists = [np.fromiter(sorted(s), np.int64, len(s)) for s in both]
-        mean = x.mean(0)
-        medoid = int((x @ mean).argmax())
-        a, b = [], []
+        medoid = int((x @ x.mean(0)).argmax())
+        hit = np.zeros((len(k), len(k)), bool)
         for q in range(len(k)):
-            hits = search(x, lists, medoid, q, threshold - 1e-9)
-            hits = hits[k[hits] < k[q]]
-            a += [int(k[q])] * len(hits)
-            b += k[hits].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    found = dealt.join(united, "k").groupBy("shard").applyInPandas(find, "a long, b long")
-    pairs = found.distinct()
-    vec = nodes.select("k", "embedding")
-    both = pairs.join(vec.select(F.col("k").alias("a"), F.col("embedding").alias("x")), "a").join(vec.select(F.col("k").alias("b"), F.col("embedding").alias("y")), "b")
-    dot = "aggregate(zip_with({0}, {1}, (p, q) -> p * q), 0D, (s, v) -> s + v)"
-    cosine = F.expr(f"{dot.format('x', 'y')} / sqrt({dot.format('x', 'x')}) / sqrt({dot.format('y', 'y')})")
-    return both.where(cosine >= threshold).select("a", "b")
+            hit[q, search(x, lists, medoid, q, threshold)] = True
+        hit |= hit.T
+        homes = [frozenset(h) for h in pdf["homes"]]
+        several = np.flatnonzero([len(h) > 1 for h in homes])
+        for i in several:  # a pair of another, lesser shard is counted there
+            for j in several[hit[i, several]]:
+                if min(homes[i] & homes[j]) != here:
+                    hit[i, j] = False
+        links = hit @ pdf["copies"].to_numpy(np.int64)
+        some = np.flatnonzero(links)
+        ends = joined(hit)
+        a = np.concatenate([k[some], k[[i for i, _ in ends]]]) if ends else k[some]
+        b = pd.array([None] * len(some) + [int(k[j]) for _, j in ends], "Int64")
+        return pd.DataFrame({"a": a, "b": b, "links": pd.array([int(n) for n in links[some]] + [None] * len(ends), "Int64")})
+
+    return dealt.join(united, "k").groupBy("shard").applyInPandas(find, "a long, b long, links long")
 
 
 def classes(rows: DataFrame, threshold: float = 0.98, shard_rows: int = 1200, sample_rows: int = 4000, overlap: int = 2) -> DataFrame:
@@ -220,13 +250,11 @@ def classes(rows: DataFrame, threshold: float = 0.98, shard_rows: int = 1200, sa
     ok = F.col("label").isNotNull() & sound("embedding")
     # partial sums keep a vector that a third of all rows share from meeting in one task
     groups = scratch.write(keyed.where(ok).groupBy("label", "embedding").agg(F.min("k").alias("r"), F.count("*").alias("copies")), "nodes")
-    nodes = groups.select(F.col("r").alias("k"), "label", "embedding")
+    nodes = groups.select(F.col("r").alias("k"), "label", "embedding", "copies")
     links = scratch.write(linked(nodes, scratch, threshold, shard_rows, sample_rows, overlap), "links")
-    comp = components(links, scratch)
-    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = groups.select(F.col("r").alias("b"), "copies")
-    degree = ends.join(size, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    told = groups.join(degree.withColumnRenamed("a", "r"), "r", "left").join(comp.withColumnRenamed("node", "r"), "r", "left")
+    comp = components(links.where("b IS NOT NULL").select("a", "b"), scratch)
+    degree = links.where("b IS NULL").groupBy(F.col("a").alias("r")).agg(F.sum("links").alias("others"))
+    told = groups.join(degree, "r", "left").join(comp.withColumnRenamed("node", "r"), "r", "left")
     told = told.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "r").alias("c"))
     out = keyed.where(ok).join(told, ["label", "embedding"]).select("k", "vec_id", "n_links", "c")
     out = out.unionByName(keyed.where(~ok).select("k", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("c")))
@@ -237,25 +265,28 @@ def classes(rows: DataFrame, threshold: float = 0.98, shard_rows: int = 1200, sa
     return out.select("vec_id", "n_links", "component_id", (F.col("k") == F.col("c")).alias("kept"))
 
 
-def recall(rows: DataFrame, links: DataFrame, threshold: float = 0.98, every: int = 100) -> float:
-    """The share of brute-force links of the rows whose vec_id is divisible by ``every`` that ``links`` (a, b) has."""
+def recall(rows: DataFrame, found: DataFrame, threshold: float = 0.98, every: int = 100, blocks: int = 16) -> float:
+    """The share of the brute-force links of the rows whose vec_id is divisible by ``every`` that ``found`` (vec_id,
+    n_links) counts; fails if it counts more for any of them."""
     ok = rows.where(F.col("label").isNotNull() & sound("embedding")).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     asked = ok.where(F.col("vec_id") % every == 0)
 
     def brute(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, y = _unit(left["embedding"].to_list()), _unit(right["other"].to_list())
-            ids = right["other_id"].to_numpy()
-            for v, s in zip(left["vec_id"], x @ y.T, strict=True):
-                out += [(v, w) for w in ids[s >= threshold] if w != v]
-        return pd.DataFrame(out, columns=["q", "v"]).astype("int64")
-
-    blocks = ok.select(F.col("label").alias("l"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("b"), F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
-    true = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).groupBy("label", F.col("block").cast("long").alias("block")).cogroup(blocks.groupBy("l", "b")).applyInPandas(brute, "q long, v long")
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n = true.count()
-    return 1.0 if not n else true.join(both, (F.col("q") == F.col("a")) & (F.col("v") == F.col("b")), "left_semi").count() / n
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        near = _unit(left["embedding"].to_list()) @ _unit(right["other"].to_list()).T >= threshold
+        itself = left["vec_id"].to_numpy()[:, None] == right["other_id"].to_numpy()[None]
+        return pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "n": (near & ~itself).sum(1)})
+
+    dims = F.size("embedding")
+    part = ok.select(F.col("label").alias("l"), dims.alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
+    each = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    true = each.groupBy("label", dims.alias("dims"), F.col("block").cast("long").alias("block")).cogroup(part.groupBy("l", "d", "b")).applyInPandas(brute, "vec_id long, n long")
+    both = true.groupBy("vec_id").agg(F.sum("n").alias("n")).join(found.select("vec_id", "n_links"), "vec_id")
+    n, had, more = both.agg(F.sum("n"), F.sum("n_links"), F.count(F.when(F.col("n_links") > F.col("n"), 1))).first()
+    if more:
+        raise AssertionError(f"{more} rows have links below the threshold")
+    return had / n if n else 1.0
 
 
 def op6_flat_graph_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
