@@ -136,28 +136,50 @@ def test_quality_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
-def brute_mcd(x, floor, steps=4):
-    """The same estimate with numpy."""
-    reg, best = np.diag(np.square(floor)).astype(float), None
-    q = lambda a, p: np.quantile(a, p, axis=0, method="inverted_cdf")
-    starts = [(q(x, 0.5), np.diag(((q(x, 0.75) - q(x, 0.25)) / 1.349) ** 2 + np.square(floor))), (x.mean(0), np.cov(x.T, bias=True) + reg)]
-    for mean, cov in starts:
-        for _ in range(steps):
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            k = np.floor(np.log(d + 1e-6) * 64)
-            cut = next(b for b in np.unique(k) if (k <= b).sum() >= robust.H * len(x))
-            own = x[k <= cut]
+def fast_mcd(x, floor, rng, starts=150):
+    """Squared distances by the usual random search: steps from many small subsets until nothing changes, then one reweighting."""
+    reg, h, best = np.diag(np.square(floor)).astype(float), int(np.ceil(robust.H * len(x))), None
+    far = lambda mean, cov, x=x: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        was = None
+        while True:
             mean, cov = own.mean(0), np.cov(own.T, bias=True) + reg
-        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
-            best = (np.linalg.slogdet(cov)[1], mean, cov)
-    _, mean, cov = best
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            det = np.linalg.slogdet(cov)[1]
+            if was is not None and det >= was - 1e-9:
+                break
+            was, own = det, x[np.argsort(far(mean, cov), kind="stable")[:h]]
+        if best is None or det < best[0]:
+            best = (det, mean, cov)
+    d = far(*best[1:])
     own = x[d <= robust.chi2_quantile(0.975, 5) * robust.consistency(robust.H)]
-    mean, cov = own.mean(0), np.cov(own.T, bias=True) * robust.consistency(0.975) + reg
-    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-
-
-def test_outliers_are_those_of_numpy(spark):
+    return best[0], far(own.mean(0), np.cov(own.T, bias=True) * robust.consistency(0.975) + reg)
+
+
+def test_estimates_are_those_of_a_random_search(spark):
+    from tidefold.llm.common import Scratch
+
+    rng = np.random.default_rng(6)
+    clouds = {}
+    for g in range(4):  # sound rows that move together; a fifth elsewhere, near, far, flat or in one place
+        a = rng.normal(0, 1, (5, 5))
+        x = rng.normal(0, 300, (400, 5)) @ a
+        bad = int(0.2 * len(x))
+        x[:bad] = [rng.normal(0, 100, (bad, 5)) + 4000, rng.normal(0, 3000, (bad, 5)), x[:bad] * [1, 1, 1, 1, 0] + 2500, np.full((bad, 5), -3000.0)][g]
+        clouds[f"g{g}"] = np.round(x)
+    rows = spark.createDataFrame([(g, *map(int, r)) for g, x in clouds.items() for r in x], "g string, " + ", ".join(f"x{i} long" for i in range(5)))
+    model = robust.estimate(rows, Scratch(spark, "mcd"), few=True)
+    got = robust._distance(rows.join(model, "g"), "r").select("g", *(f"x{i}" for i in range(5)), "dr").collect()
+    for g, x in clouds.items():
+        _, want = fast_mcd(x, robust.FLOOR, rng)
+        mine = {tuple(int(v) for v in r[1:6]): r.dr for r in got if r.g == g}
+        d = np.array([mine[tuple(int(v) for v in r)] for r in x])
+        assert np.allclose(np.log(d + 1), np.log(want + 1), atol=0.12), g
+        limit = robust.chi2_quantile(1 - robust.TAIL, 5)
+        assert ((d > limit) != (want > limit)).mean() < 0.005
+
+
+def test_outliers_are_rejected(spark):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(25, 200))) for _ in range(400)]
     texts += ["##% ".join(f"w{rng.randrange(99)}" for _ in range(60)) for _ in range(9)]
@@ -165,8 +187,8 @@ def test_outliers_are_those_of_numpy(spark):
     got = {r.doc_id: r for r in robust.judged(df).collect()}
     v = {r.doc_id: [r[f"x{i}"] for i in range(5)] for r in robust.vectors(robust.statistics(df)).collect()}
     ids = sorted(i for i in v if not got[i].base_failed)
-    d = brute_mcd(np.array([v[i] for i in ids], float), robust.FLOOR)
-    assert np.allclose([got[i].distance2 for i in ids], d, rtol=1e-6)
+    _, d = fast_mcd(np.array([v[i] for i in ids], float), robust.FLOOR, np.random.default_rng(1))
+    assert np.allclose(np.log([got[i].distance2 + 1 for i in ids]), np.log(d + 1), atol=0.12)
     assert not any(got[i].kept for i in range(400, 409)) and sum(got[i].kept for i in range(400)) >= 396
 
 
@@ -365,24 +387,17 @@ def test_codewords_are_apart():
 # op 7
 
 
-def test_every_prefix_is_less_than_a_block_off():
-    for weights in ({"a": 5.0, "b": 3.0, "c": 1.0}, {"a": 1.0}, {str(i): float(i + 1) for i in range(13)}):
-        k = pfair.shares(weights, 100)
-        slots = pfair.period(k)
-        assert sum(k.values()) == 100 and sorted(x for s in slots.values() for x in s) == list(range(100))
-        for s, own in slots.items():
-            for t in range(1, 101):
-                assert abs(sum(x < t for x in own) - t * k[s] / 100) < 1
-
-
 def test_mixing_places_every_row_once(spark):
     texts = [f"t{i}" for i in range(500)]
     df = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") < 250, "big").when(F.col("doc_id") < 499, F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"))))
     weights = {"big": 2.0, **{f"s{i}": 1.0 for i in range(5)}}
-    rows = pfair.mix_sources(df.withColumn("mix_slot", F.lit(1)), weights, block_docs=4, q=20).collect()
+    rows = pfair.mix_sources(df.withColumn("mix_slot", F.lit(1)), weights, block_docs=4).collect()
     assert len(rows) == 500 and len({r.mix_position for r in rows}) == 500 and {r.mix_slot for r in rows} == {1}
-    plan = pfair.plan({"x": 30, "y": 9}, {"x": 1.0, "y": 1.0}, 10)
-    assert sum(p["periods"] for p in plan) == 2 + 2 and plan[1]["first"]["x"] == 10
+    few = pfair.mix_sources(df, weights, most_blocks=50).collect()
+    assert len(few) == 500 and max(Counter(r.mix_slot for r in few).values()) == 10
+    for weight in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            pfair.mix_sources(df, weights | {"s1": weight})
     owner = {}
     for r in rows:
         owner.setdefault(r._mix_slot, set()).add(r.source)
@@ -407,7 +422,7 @@ def fluid(blocks, weights):
     return v
 
 
-@pytest.mark.parametrize("n_sources, hot", [(20, 5000), (100, 2000), (1200, 600)])
+@pytest.mark.parametrize("n_sources, hot", [(2, 500), (13, 300), (20, 5000), (100, 2000), (1200, 600)])
 def test_every_prefix_of_a_long_run_is_less_than_a_block_off_its_target(n_sources, hot):
     rng = random.Random(n_sources)
     blocks = {"hot": hot, **{f"s{i}": max(1, int(2 * hot / n_sources * rng.uniform(0.5, 1.5))) for i in range(n_sources - 1)}}
@@ -473,6 +488,50 @@ def test_the_quick_pattern_passes_every_text_with_an_entity(spark):
     assert [r.pii_entities for r in rows] == [1, 1, 1] and not re.search(r"8\.8\.8\.8|Dupont|Meyer", " ".join(r.text for r in rows))
 
 
+def test_mentions_of_one_person_or_number_agree(spark):
+    texts = [
+        "Mr. John Smith spoke. Then Smith and John Smith left; Mr. Smith too, and John, SMITH-like.",
+        "Frau Anna Schmidt, Dr. Anna Schmidt, Frau Schmidt. Schmidt ging.",
+        "Mr. Tom Brown and Mrs. Eva Brown; Mr. Brown, Mrs. Brown. Brown? Tom.",
+        "call +1 (588) 555-1833 or (588) 555-1833, 1-588-555-1833; +33 6 12 34 56 78, 06 12 34 56 78, 0033 6 12 34 56 78, +49 612345678",
+    ]
+    out = {r.doc_id: r.text for r in surrogates.replace(docs(spark, texts), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) ([\w-]+) spoke\. Then ([\w-]+) and (\w+ [\w-]+) left; Mr\. ([\w-]+) too, and (\w+), SMITH-like\.", out[0])
+    assert m and m[2] == m[3] == m[5] and m[4] == f"{m[1]} {m[2]}" and m[6] == m[1] and "Smith" not in out[0] and "John" not in out[0]
+    m = re.fullmatch(r"Frau (.+), Dr\. (.+), Frau (.+)\. (.+) ging\.", out[1])
+    assert m and m[1] == m[2] and m[1].split()[1] == m[3] == m[4] and m[1].split()[0] in surrogates._GIVEN["Latin"]["f"]
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) and Mrs\. (\S+) (\S+); Mr\. (\S+), Mrs\. (\S+)\. Brown\? (\S+)\.", out[2])  # of which Brown isn't told
+    assert m and (m[2], m[4]) == (m[5], m[6]) and m[7] == m[1]
+    m = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \(\1\) \2-\3, 1-\1-\2-\3; \+33 (\d(?: \d\d){4}), 0(\S.*?), 0033 \4, \+49 (\d{9})", out[3])
+    assert m and m[4] == m[5] and m[6] == m[4].replace(" ", "") and "555-1833" not in out[3]
+
+
+def test_no_found_entity_is_left_and_the_mapping_is_one_to_one(spark):
+    rng = random.Random(5)
+    bits = ["Mr. Ben Abel", "Mrs. Abel", "Herr Weber", "a@b.io", "A@B.io", "x.y@b.io", "10.0.0.7", "10.0.0.8", "+1 555 123 4567", "555-123-4567", "078-05-1120", "password=abc1234", "pwd: abc1235", "4845 1681 1440 7329"]
+    signs = ["!", "*", "\u0663", "\u00b2", "\u2022", "a", "7", "\u65e5", "\u05d0", "-", "\ud55c", "="]
+    texts = [" und ".join(rng.choice([*bits, "password=" + "".join(rng.choice(signs) for _ in range(rng.randint(6, 9)))]) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    rows = {r.doc_id: r for r in surrogates.replace(docs(spark, texts), "k").collect()}
+    there = {(k, n) for t in texts for _, _, k, n in surrogates.found(t)}
+    made: dict = {}
+    for i, t in enumerate(texts):
+        hits, at, out = surrogates.found(t), 0, rows[i].text
+        assert rows[i].pii_entities == len(hits)
+        for (_, b, _, _), (_, nxt, _, _) in zip([(0, 0, "", ""), *hits], [*((0, a, 0, 0) for a, *_ in hits), (0, len(t), 0, 0)], strict=True):  # what is between stays
+            at = out.index(t[b:nxt], at)
+        for _, _, k, n in surrogates.found(out):
+            assert (k, n) not in there or k == "name"
+        for (a, b, k, n), new in zip(hits, surrogates.found(out), strict=False):
+            if len(surrogates.found(out)) == len(hits) and k not in ("name", "secret"):
+                made.setdefault((k, n), set()).add(new[3])
+    assert made and all(len(v) == 1 for v in made.values()) and len({next(iter(v)) for v in made.values()}) == len(made)
+
+
+def test_without_a_key_runs_differ(spark):
+    one, two = ([r.text for r in surrogates.replace(docs(spark, ["mail a.b@c.org"])).collect()] for _ in range(2))
+    assert one != two
+
+
 def test_masks_and_scarce_shapes_settle(spark):
     masks = ["password: ********", "token = ------", "pwd=••••••••"]
     signs = ["password: !@#$%^&*", "secret=[****-****]", "password: ٣٤٥٦٧٨", "pwd = ²²²²²²", "password=*****1", "password=*****2"]

@@ -55,10 +55,36 @@ def test_repeated_vectors_and_ids(spark):
     assert vectors.classes(df.limit(0)).count() == 0
 
 
+def test_a_ball_that_no_centres_split_is_compared_by_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, [float(v) for v in np.r_[1.0, rng.normal(0, 0.01, 7)]]) for i in range(260)] + [(300 + i, 0, [float(v) for v in rng.normal(size=8)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    nodes = df.select(F.col("vec_id").alias("k"), "label", "embedding")
+    dealt = vectors.shards(nodes, scratch, 50, 100, 2, 2.0, most_levels=1)  # what is left after the levels
+    assert dealt.where("shard LIKE '%+%'").groupBy("shard").count().agg(F.max("count")).first()[0] < 100
+    pairs = dealt.alias("a").join(dealt.alias("b"), "shard").where("a.k < b.k").select("a.k", "b.k").distinct().count()
+    assert pairs == 280 * 279 // 2
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in vectors.classes(df, shard_rows=50, sample_rows=100).collect()}
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert all(got[r[0]] <= n for r, n in zip(rows, true, strict=True)) and sum(got.values()) >= 0.97 * true.sum()
+
+
 def test_audit(spark):
     df = spark.createDataFrame([(0, 0, [1.0, 0.0]), (5, 0, [1.0, 0.001]), (7, 0, [0.0, 1.0])], "vec_id long, label int, embedding array<double>")
-    assert vectors.recall(df, spark.createDataFrame([(5, 0)], "a long, b long")) == 1.0
-    assert vectors.recall(df, spark.createDataFrame([(7, 0)], "a long, b long")) == 0.0
+    found = lambda n: spark.createDataFrame([(0, n), (5, 1), (7, 0)], "vec_id long, n_links long")
+    assert vectors.recall(df, found(1)) == 1.0 and vectors.recall(df, found(0)) == 0.0
+    with pytest.raises(AssertionError):
+        vectors.recall(df, found(2))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_query(spark, sf):
+    path = f"/root/testdata/{sf}"
+    df = spark.read.parquet(f"{path}/embeddings.parquet")
+    assert vectors.recall(df, vectors.op6_flat_graph_neardup(spark, path), every=10) >= 0.9
 
 
 @pytest.fixture(scope="module")

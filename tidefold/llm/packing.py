@@ -226,7 +226,7 @@ def _packer(capacity: int, step: int, last: bool):
 
 
 def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 40_000, scratch: Scratch | None = None) -> DataFrame:
-    """``parts`` (PIECE) with sequence_id and offset.
+    """``parts`` (PIECE, a written table) with sequence_id and offset.
 
     block_rows bounds what a task holds: a block has about so many pieces, however many there are."""
     spark = parts.sparkSession
@@ -237,7 +237,8 @@ def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 40_000, scrat
 
     def deal(df: DataFrame, step: int, last: bool) -> DataFrame:
         n = max(1, -(-df.count() // block_rows))
-        dealt = df.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(step)), F.lit(n)))
+        # by the place in the written table, so that rows alike don't meet in one block
+        dealt = df.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(step)), F.lit(n)))
         return dealt.repartition(n, "block").mapInArrow(_packer(capacity, step, last), out)
 
     first = scratch.write(deal(short, 1, False), "first")
