@@ -5,7 +5,7 @@ it stands. So every start of such a window belongs to one anchor, windows that a
 equal anchors, and only anchors that occur twice are followed further:
 
 1. each text's anchors (hash, first start, number of starts) come from one pass over its bytes;
-2. anchors seen once are dropped by a count over a window of equal hashes, which spills;
+2. anchors seen once are dropped in a stream sorted by their hashes;
 3. the context of each other anchor (all its windows) is cut from the text; contexts that the same
    task has met at an earlier place are settled at once, as copies, so that a text or passage in very
    many documents leaves a task once and not as often as it occurs;
@@ -32,12 +32,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, order_key, rolling, table, utf8
+from .common import Scratch, mix, order_key, rolling, table, utf8
 
-GRAM, PART = 24, 1 << 20
+GRAM, PART, PLACE = 24, 1 << 20, 22
+#: Rows of one anchor from one part that are counted; others are known to repeat.
+LOCAL, KNOWN = 8, 1 << 15
 #: Contexts that a task of step 3 remembers; more only means that later copies are settled in step 4.
 REMEMBERED = 150_000
 GROUP_BYTES = 1 << 20
@@ -46,11 +47,13 @@ GROUP_BYTES = 1 << 20
 def anchors(data: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first start in it, number of starts, hash) of each anchor of texts given back to back."""
     n, wide = len(data), least - GRAM + 1
+    if n >= 1 << PLACE:
+        raise ValueError("a part is too long")
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none, none.astype(np.uint64)
     h = rolling(data, GRAM)
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(PLACE)  # the same for every batch, so that equal windows have equal anchors
     key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     m = n - least + 1
     pad = -len(key) % wide
@@ -72,13 +75,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray,
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(k, x, h) of all anchors, x = start << 16 | number of starts, h of 48 bits (equal hashes only lead
-    to a comparison of bytes); texts are packed into parts of about PART bytes, longer ones cut."""
+    to a comparison of bytes); texts are packed into parts of about PART bytes, longer ones cut. Beyond the
+    first ``LOCAL`` rows of an anchor in a part x is marked ``KNOWN`` and h mixed with k, so they spread."""
 
     def flush(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         offs = np.cumsum([0, *(len(p[2]) for p in parts)])
         text, s, c, h = anchors(np.concatenate([p[2] for p in parts]), offs, least)
-        k, base = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k[text]), pa.array((s + base[text]) << 16 | c), pa.array((h >> np.uint64(16)).view(np.int64))], ["k", "x", "h"])
+        k, base = np.array([p[0] for p in parts], np.int64)[text], np.array([p[1] for p in parts], np.int64)[text]
+        h, x = (h >> np.uint64(16)).view(np.int64), (s + base) << 16 | c
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+        far = order[np.arange(len(h)) - np.repeat(head, np.diff(np.r_[head, len(h)])) >= LOCAL]
+        x[far] |= KNOWN
+        h[far] ^= spread(k[far])
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(x), pa.array(h)], ["k", "x", "h"])
 
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
@@ -100,6 +110,33 @@ def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield flush(held)
 
 
+def spread(k: np.ndarray) -> np.ndarray:
+    """48 bits of each k."""
+    return (mix(k.view(np.uint64)) >> np.uint64(16)).view(np.int64)
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, x, h) in the order of h those whose h comes once go, unless they are known to repeat. A batch is held."""
+    last, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.stack([c.to_numpy() for c in batch.columns])
+        rows = new if held is None else np.concatenate([held, new], axis=1)
+        h = rows[2]
+        keep = (rows[1] & KNOWN) > 0
+        same = h[1:] == h[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= last == h[0]
+        keep = keep[:-1]  # the last row waits for the next batch
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in rows], ["k", "x", "h"])
+        last, held = (h[-2] if len(h) > 1 else last), rows[:, -1:]
+    if held is not None:
+        keep = np.array([bool(held[1, 0] & KNOWN) or last == held[2, 0]])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in held], ["k", "x", "h"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """From (k, text, anchors): contexts (h, k, s, ctx), or, for a copy of an earlier context met here, e (its end) and the earlier place."""
     seen: dict[bytes, tuple[int, int]] = {}
@@ -110,25 +147,30 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         lo = lists.offsets.to_numpy()
         item = lists.values
         x_all, h_all = (item.field(f).to_numpy() for f in range(2))
-        s_all, c_all = x_all >> 16, x_all & 0xFFFF
+        s_all, c_all = x_all >> 16, x_all & (KNOWN - 1)
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lo))
+        first = lo[0]
+        x_all, h_all, s_all, c_all = (v[first : lo[-1]] for v in (x_all, h_all, s_all, c_all))
+        lo = lo - first
+        h_all = np.where(x_all & KNOWN, h_all ^ spread(owner), h_all)
         for i, k in enumerate(batch.column(0).to_pylist()):
             own = slice(lo[i], lo[i + 1])
             order = np.argsort(s_all[own], kind="stable")
             ss, cs, hs = s_all[own][order].tolist(), c_all[own][order].tolist(), h_all[own][order].tolist()
-            base, out = int(offs[i]), ([], [], [], [], [], [])
+            base, out = int(offs[i]), ([], [], [], [], [], [], [])
             for s, c, h in zip(ss, cs, hs, strict=True):
                 ctx = raw[base + s : base + s + c + least - 1]
                 was = seen.get(ctx)
                 if was is not None and was < (k, s):
-                    row = (h, k, s, None, s + len(ctx), was[0])
+                    row = (h, k, s, None, s + len(ctx), *was)
                 else:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[ctx] = (k, s)
-                    row = (h, k, s, ctx, None, None)
+                    row = (h, k, s, ctx, None, None, None)
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["h", "k", "s", "ctx", "e", "of_k"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["h", "k", "s", "ctx", "e", "of_k", "of_s"])
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +233,8 @@ def intervals(lcp: np.ndarray, diverse: np.ndarray, least: int) -> list[tuple[in
 
 def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """From contexts sorted by h: the occurrences of maximal repeats."""
-    names = ["h", "gid", "parent", "k", "s", "e", "first"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["h", "gid", "parent", "k", "s", "e", "first", "of_s"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -210,7 +252,7 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             sizes[h] = sizes.get(h, 0) + 1
         for h, k, s, ctx in held:
             if first[h, ctx] != (k, s):
-                rows.append((h, -1, first[h, ctx][0], k, s, s + len(ctx), False))
+                rows.append((h, -1, first[h, ctx][0], k, s, s + len(ctx), False, first[h, ctx][1]))
         left = [(h, k, s, ctx) for (h, ctx), (k, s) in first.items() if sizes[h] > 1]
         at = 0
         while at < len(left):  # groups stay whole; a piece has about GROUP_BYTES bytes
@@ -258,7 +300,7 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             least_one = min(ranks, key=rk.__getitem__)
             lowest[g] = least_one
             if wide:
-                out += [(hs[i], g, parent, ks[i], ss[i], ss[i] + length, i == least_one) for i in ranks]
+                out += [(hs[i], g, parent, ks[i], ss[i], ss[i] + length, i == least_one, None) for i in ranks]
         return out
 
     held: list[tuple[int, int, int, bytes]] = []
@@ -267,7 +309,7 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         copies = batch.filter(pc.is_null(batch.column(3)))
         if copies.num_rows:
             n = copies.num_rows
-            yield pa.RecordBatch.from_arrays([copies.column(0), pa.array(np.full(n, -1)), copies.column(5), copies.column(1), copies.column(2), copies.column(4), pa.array(np.zeros(n, bool))], names)
+            yield pa.RecordBatch.from_arrays([copies.column(0), pa.array(np.full(n, -1)), copies.column(5), copies.column(1), copies.column(2), copies.column(4), pa.array(np.zeros(n, bool)), copies.column(6)], names)
         fresh = batch.filter(pc.is_valid(batch.column(3)))
         for h, k, s, ctx in zip(*(fresh.column(i).to_pylist() for i in range(4)), strict=True):
             if size >= 4 * GROUP_BYTES and h != held[-1][0]:
@@ -279,18 +321,24 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield from work(held)
 
 
-def maximal_repeats(keyed: DataFrame, least: int = 100) -> DataFrame:
+def maximal_repeats(keyed: DataFrame, scratch: Scratch, least: int = 100) -> DataFrame:
     """Occurrences of maximal repeats of ``keyed`` (k, text): h and gid name the group within one
     task's output, parent the enclosing group, k, s, e the place, first whether it is the earliest.
-    Copies of a whole context have gid -1 and in ``parent`` the k of the earlier text."""
+    Copies of a whole context have gid -1 and the place of the earlier one in ``parent`` (k) and ``of_s``; they occur
+    wherever groups of that place do. Groups are maximal within the context of an anchor (up to 2 * least -
+    GRAM bytes): a longer repeat comes as groups that overlap, one for each anchor in it."""
     if not GRAM <= least < 1 << 16:
         raise ValueError(f"least is from {GRAM} to 65535 bytes")
     found = keyed.select("k", "text").mapInArrow(lambda b: _scan(b, least), "k long, x long, h long")
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    # a stream in the order of the hashes, with at most LOCAL rows of an anchor from a part; written, so that the
+    # shuffle of all anchors needn't be kept beside those of the texts and contexts
+    twice = scratch.write(found.repartition("h").sortWithinPartitions("h").mapInArrow(_twice, "k long, x long, h long"), "anchors")
+    scratch.reclaim()
     lists = twice.groupBy("k").agg(F.collect_list(F.struct("x", "h")).alias("a"))
-    cut = keyed.join(lists, "k").select("k", "text", "a").mapInArrow(lambda b: _contexts(b, least), "h long, k long, s long, ctx binary, e long, of_k long")
-    dealt = cut.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(lambda b: _groups(b, least), "h long, gid long, parent long, k long, s long, e long, first boolean")
+    cut = keyed.join(lists, "k").select("k", "text", "a").mapInArrow(lambda b: _contexts(b, least), "h long, k long, s long, ctx binary, e long, of_k long, of_s long")
+    # copies are settled and only pass, so they are dealt by their place
+    dealt = cut.repartition(F.when(F.col("ctx").isNull(), F.xxhash64("k", "s")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    return dealt.mapInArrow(lambda b: _groups(b, least), "h long, gid long, parent long, k long, s long, e long, first boolean, of_s long")
 
 
 def cut_repeats(docs: DataFrame, least: int = 100, keep_text: bool = False) -> DataFrame:
@@ -301,7 +349,7 @@ def cut_repeats(docs: DataFrame, least: int = 100, keep_text: bool = False) -> D
         keyed = keyed.select("k", "text")
     # with the same columns and filter in both joins the texts are dealt out once
     keyed = keyed.where("k IS NOT NULL")
-    spans = maximal_repeats(keyed, least).where("NOT first").groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = maximal_repeats(keyed, scratch, least).where("NOT first").groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = keyed.join(spans, "k", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
