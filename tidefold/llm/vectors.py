@@ -3,8 +3,8 @@
 Equal vectors of a label are one node. Each label starts as a shard; a shard above ``shard_rows`` nodes
 is split by k-means centres fitted on a bounded sample of it (``sample_rows`` by a hash), level by
 level, and a node goes to every centre not much farther than its nearest (by the chord of the
-threshold, ``overlap`` centres at most), so shards overlap. What no centres can split (a dense ball of
-unlike vectors) is dealt into blocks, and every two blocks become a shard. In a shard each node's nearest
+threshold, ``overlap`` centres at most), so shards overlap. Centres within range of each other count as
+one, so a dense ball isn't cut; what is one ball alone is dealt into blocks, and every two blocks become a shard. In a shard each node's nearest
 candidates, and a few taken at random, which keep the graph in one piece, are pruned robustly (a candidate
 goes if a kept neighbour is nearer to it by ``ALPHA``). The adjacency lists of all shards are united. Then
 each node is searched for by greedy beam search from its shard's medoid over the united lists, in both
@@ -70,6 +70,7 @@ def shards(nodes: DataFrame, scratch: Scratch, shard_rows: int, sample_rows: int
     """(shard, k, embedding): every node once or more."""
     now = nodes.select(F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("_"), F.size("embedding").cast("string")).alias("shard"), "k", "embedding")
     done: list[DataFrame] = []
+    balls: list[DataFrame] = []
     for level in range(most_levels):
         now = scratch.write(now, f"level{level}")
         sizes = now.groupBy("shard").count()
@@ -85,17 +86,24 @@ def shards(nodes: DataFrame, scratch: Scratch, shard_rows: int, sample_rows: int
             pdf = pdf.sort_values("k")
             k = int(min(64, max(2, -(-3 * pdf["count"].iloc[0] // shard_rows)), len(pdf)))
             c = centres(_unit(pdf["embedding"].to_list()), k)
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dims": [c.shape[1]], "c": [c.ravel()]})
+            # centres in range of each other stand in one crowd, which no border between them may cut
+            near = np.maximum(2 - 2 * (c @ c.T), 0) <= chord * chord
+            crowd = np.arange(len(c))
+            for i, j in joined(near & ~np.eye(len(c), dtype=bool)):
+                crowd[i] = j
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dims": [c.shape[1]], "c": [c.ravel()], "crowd": [np.unique(crowd, return_inverse=True)[1]], "crowds": [len(set(crowd.tolist()))]})
 
-        fitted = scratch.write(picked.groupBy("shard").applyInPandas(fit, "shard string, dims int, c array<double>"), f"centres{level}")
+        fitted = scratch.write(picked.groupBy("shard").applyInPandas(fit, "shard string, dims int, c array<double>, crowd array<int>, crowds int"), f"centres{level}")
+        balls.append(part.drop("count").join(fitted.where("crowds = 1").select("shard"), "shard", "left_semi"))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 pdf = batch.to_pandas()
                 out_s, out_i = [], []
                 for shard, own in pdf.groupby("shard", sort=False):
-                    c = np.asarray(own["c"].iloc[0]).reshape(-1, int(own["dims"].iloc[0]))
-                    d = np.sqrt(np.maximum(2 - 2 * (_unit(own["embedding"].to_list()) @ c.T), 0))
+                    c, crowd = np.asarray(own["c"].iloc[0]).reshape(-1, int(own["dims"].iloc[0])), np.asarray(own["crowd"].iloc[0])
+                    each = np.sqrt(np.maximum(2 - 2 * (_unit(own["embedding"].to_list()) @ c.T), 0))
+                    d = np.stack([each[:, crowd == g].min(1) for g in range(crowd.max() + 1)], axis=1)
                     order = np.argsort(d, axis=1)[:, :overlap]
                     near = np.take_along_axis(d, order, 1)
                     for i, cs, ds in zip(own.index, order.tolist(), near.tolist(), strict=True):
@@ -106,9 +114,14 @@ def shards(nodes: DataFrame, scratch: Scratch, shard_rows: int, sample_rows: int
                 take = pa.array(out_i, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.string()), batch.column("k").take(take), batch.column("embedding").take(take)], ["shard", "k", "embedding"])
 
-        now = part.drop("count").join(fitted, "shard").mapInArrow(assign, "shard string, k long, embedding array<double>")
+        now = part.drop("count").join(fitted.where("crowds > 1"), "shard").mapInArrow(assign, "shard string, k long, embedding array<double>")
     else:
-        now = scratch.write(now, "whole")
+        balls.append(now)
+    if balls:
+        whole = balls[0]
+        for b in balls[1:]:
+            whole = whole.unionByName(b)
+        now = scratch.write(whole, "whole")
         blocks = now.groupBy("shard").agg(F.ceil(F.count("*") * 2 / shard_rows).cast("int").alias("_n"))
         own = now.join(blocks, "shard").withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_n")).cast("int"))
         pair = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o")
