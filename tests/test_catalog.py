@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL, on the smallest tables."""
 
 import os
+import re
 from decimal import Decimal
 
 import duckdb
@@ -41,6 +42,13 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(text(r[i]) for i in at) for r in out.fetchall())
 
 
+def test_scans_read_what_views_use(spark):
+    for name, wanted in (("stage_join_inner", {"o_orderkey", "o_custkey", "c_custkey", "c_name", "c_nationkey", "n_nationkey", "n_name"}), ("stage_filter_retract", {"event_id", "user_id", "event_type"})):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        read = {c.split(":")[0] for part in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in part.split(",")}
+        assert read == wanted, name
+
+
 def test_hot_paths_stay_in_the_jvm(spark):
     for name in ("stage_agg_sum", "proj_rules_fold", "mirror_keyed", "stage_join_inner"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

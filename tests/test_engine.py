@@ -250,11 +250,10 @@ def random_log(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batches_in_any_order_and_twice_converge(spark, tmp_path, seed):
+def test_batches_in_any_order_and_twice_converge(spark, tmp_path):
     import random
 
-    rng = random.Random(seed)
+    rng = random.Random(2)
     log = random_log(rng)
     whole = spark.createDataFrame(log, SCHEMA)
     graph = Graph({t: L.typed(whole, t, ddl) for t, ddl in DDL.items()}, GRAPH)
@@ -266,8 +265,6 @@ def test_batches_in_any_order_and_twice_converge(spark, tmp_path, seed):
     view.apply(spark.createDataFrame(again[1::3], SCHEMA), 1)
     for name in graph.out:
         assert rows(view.table(name)) == rows(flat(graph.out[name])), name
-    if seed == 1:
-        return
     again = View(spark, str(tmp_path / "v"), DDL, GRAPH, buckets=5)  # goes on from what is there
     assert again.store.buckets == 3 and rows(again.table()) == rows(view.table())
     again.rebuild(whole)

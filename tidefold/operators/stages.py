@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,47 @@ def descending(text: Column) -> Column:
     return F.concat(F.translate(F.lower(F.hex(text)), "0123456789abcdef", "fedcba9876543210"), F.lit("g"))
 
 
+FIRST = re.compile(r"\$(parent)?(?:\.([A-Za-z_]\w*)|\['((?:[^']|'')*)'\])?")
+
+
+def used_fields(stages: list[dict], discriminators: dict[str, str]) -> dict[str, set[str] | None]:
+    """By topic the payload fields that stages read, as far as first steps of paths tell; None stands for all."""
+    out: dict[str, set[str] | None] = {}
+
+    def add(topic: str, texts: list[str], alias: str | None = None) -> None:
+        found = out.setdefault(topic, set())
+        for text in texts:
+            hits = re.findall(rf"\$\.{alias}(?:\.([A-Za-z_]\w*))?", text) if alias else [m[2] or m[3] for m in FIRST.finditer(text)]
+            if any(not h for h in hits):
+                out[topic] = None
+                return
+            if found is not None:
+                found |= {h.replace("''", "'") for h in hits}
+
+    def texts(x: object) -> list[str]:
+        return [x] if isinstance(x, str) else [t for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for t in texts(v)]
+
+    for s in stages:
+        if "from" in s:
+            own = {k: v for k, v in s.items() if k != "join"}
+            add(s["from"], [*texts(own), *(t for j in s.get("join", []) for t in texts(j.get("on", []))), discriminators.get(s["from"], "")])
+        for j in s.get("join", []):
+            if "topic" in j:
+                add(j["topic"], texts(j.get("where", [])))
+                if j.get("as") and out[j["topic"]] is not None:
+                    add(j["topic"], texts(s), j["as"])
+    return out
+
+
+def pruned(topic: DataFrame, fields: set[str] | None) -> DataFrame:
+    """``topic`` with no more of its payload than ``fields``, so that scans and aggregations carry only these."""
+    kind = topic.schema["payload"].dataType
+    if fields is None or not isinstance(kind, T.StructType) or not set(kind.names) - fields:
+        return topic
+    kept = [F.col("payload").getField(n).alias(n) for n in kind.names if n in fields] or [F.lit(None).cast("int").alias("none")]
+    return topic.withColumn("payload", F.when(F.col("payload").isNotNull(), F.struct(*kept)))
+
+
 class Graph:
     """Compiles stages over topics (name -> DataFrame as in ``operators.log``).
 
@@ -144,6 +186,7 @@ class Graph:
         self.out: dict[str, DataFrame] = {}
         self.key_rules: dict[str, tuple[str | None, str | None]] = {}
         self.last: dict[str, DataFrame] = {}
+        self.used = used_fields(stages, self.discriminators)
         for s in validated(stages):
             self.out[s["name"]] = self.merge(s) if "merge" in s else self.stage(s)
             self.told(s)
@@ -155,7 +198,8 @@ class Graph:
 
     def current(self, topic: str) -> DataFrame:
         if topic not in self.last:
-            self.last[topic] = swept(self.topics[topic]).where(F.col("variant") == "row") if topic in self.unique else latest(self.topics[topic])
+            rows = pruned(self.topics[topic], self.used.get(topic))
+            self.last[topic] = swept(rows).where(F.col("variant") == "row") if topic in self.unique else latest(rows)
         return self.last[topic]
 
     def inputs(self, s: dict) -> DataFrame:

@@ -60,8 +60,12 @@ def lines(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
+#: Tables whose keys come once.
+SNAPSHOTS = {"orders", "customer", "nation", "region", "part", "baskets"}
+
+
 def staged(topics: dict[str, DataFrame], *stages: dict, unique: set[str] = frozenset()) -> DataFrame:
-    return flat(Graph(topics, list(stages), unique=unique).out[stages[-1]["name"]])
+    return flat(Graph(topics, list(stages), unique=unique | (SNAPSHOTS & set(topics))).out[stages[-1]["name"]])
 
 
 def scope_of(df: DataFrame) -> Scope:
