@@ -22,12 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether the session's executors are threads of the driver."""
+    return bool(re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a fresh local one where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+    if not local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
@@ -53,8 +58,9 @@ class Scratch:
 
     def reclaim(self) -> None:
         """Let Spark remove the shuffle files of finished steps, which it does when their plans are
-        collected; the listeners hold the last plan for a moment longer than its job runs."""
-        for _ in range(2):
+        collected; the listeners hold the last plan for a moment longer than its job runs. In a local
+        session, which holds small tables, they wait for the next collection."""
+        for _ in range(0 if local(self.spark) else 2):
             gc.collect()
             time.sleep(0.5)
             self.spark.sparkContext._jvm.System.gc()
