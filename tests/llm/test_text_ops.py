@@ -192,6 +192,18 @@ def test_outliers_are_rejected(spark):
     assert not any(got[i].kept for i in range(400, 409)) and sum(got[i].kept for i in range(400)) >= 396
 
 
+def test_a_step_shuffles_its_cuts_once_and_its_sums_once(spark):
+    rng = np.random.default_rng(8)
+    ks = {g: rng.integers(-400, 400, n) for g, n in (("a", 1), ("b", 4), ("c", 61), ("d", 5000))}
+    far = spark.createDataFrame([(g, int(k)) for g, x in ks.items() for k in x], "g string, ka int")
+    for r in robust._cut(far, "a").collect():  # the least bucket that a share H of the rows doesn't exceed
+        assert r.ca == min(k for k in ks[r.g] if (ks[r.g] <= k).sum() >= robust.H * len(ks[r.g]))
+    rows = spark.createDataFrame([], "g string, " + ", ".join(f"x{i} long" for i in range(5)))
+    model = spark.createDataFrame([], ", ".join(f"{c} {'string' if c == 'g' else 'double'}" for c in robust._kept("e")))
+    plan = robust._step(rows, model, "e", True)._jdf.queryExecution().sparkPlan().toString() + robust._step(rows, model, "e", True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_outliers_of_no_rows(spark):
     assert robust.judged(docs(spark, [])).count() == 0
 

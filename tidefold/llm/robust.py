@@ -101,13 +101,12 @@ def _name(*cols: str) -> Column:
     return F.to_json(F.struct(*cols, F.lit(len(cols)).alias("level")))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with the group ``g`` that judges each: (lang, source), else lang, else all, by size."""
+def groups(rows: DataFrame) -> DataFrame:
+    """(full, g): the group that judges each (lang, source): itself, else its lang, else all, by size."""
     sound = rows.where(~F.col("base_failed"))
     per = sound.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumns({"full": _name("lang", "source"), "part": _name("lang")})
     small = per.where(F.col("n") < LEAST).groupBy("part").agg(F.sum("n").alias("m"))
-    chosen = per.join(small, "part", "left").select("full", F.when(F.col("n") >= LEAST, F.col("full")).when(F.col("m") >= LEAST, F.col("part")).otherwise("all").alias("g"))
-    return rows.withColumn("full", _name("lang", "source")).join(chosen, "full", "left").drop("full")
+    return per.join(small, "part", "left").select("full", F.when(F.col("n") >= LEAST, F.col("full")).when(F.col("m") >= LEAST, F.col("part")).otherwise("all").alias("g"))
 
 
 def _cholesky(df: DataFrame, cov: dict[tuple[int, int], Column], mean: list[Column], tag: str) -> DataFrame:
@@ -155,11 +154,8 @@ def _small(model: DataFrame, few: bool) -> DataFrame:
 
 def _cut(far: DataFrame, tags: str) -> DataFrame:
     """(g, c<tag>): the least bucket of distances up to which a share H of the group lies."""
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"k{t}").alias("k")) for t in tags)))
-    counts = far.select("g", each.alias("e")).groupBy("g", "e.t", "e.k").count()
-    # a group has a few thousand buckets at most
-    upto = counts.selectExpr("g", "t", "k", "sum(count) OVER (PARTITION BY g, t ORDER BY k) AS c", "sum(count) OVER (PARTITION BY g, t) AS n")
-    return upto.where(F.col("c") >= H * F.col("n")).groupBy("g").agg(*(F.min(F.when(F.col("t") == t, F.col("k"))).alias(f"c{t}") for t in tags))
+    # counts by bucket, a few thousand at most for a group, are merged in one shuffle
+    return far.groupBy("g").agg(*(F.expr(f"CAST(percentile_disc({H}) WITHIN GROUP (ORDER BY k{t}) AS INT)").alias(f"c{t}") for t in tags))
 
 
 def _kept(tags: str) -> list[str]:
@@ -194,7 +190,7 @@ def estimate(rows: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
     whole = lambda c: F.round(1e6 * c).cast("long")
     z = z.select("g", *(whole(F.when(long > 0, F.col(f"z{i}") / long).otherwise(0.0)).alias(f"s{i}") for i in range(P)), *(whole(F.tanh(f"z{i}")).alias(f"h{i}") for i in range(P)))
     bent = z.groupBy("g").agg(F.count("*").alias("n"), *(F.sum((F.col(f"{c}{i}") * F.col(f"{c}{j}")).cast("decimal(20,0)")).cast("double").alias(f"{c}{i}{j}") for c in "sh" for i, j in MOMENTS))
-    start = plain.join(bent, "g")
+    start = bent.join(_small(plain, few), "g")
     unit = lambda i, j: F.lit(1.0 if i == j else 0.0)
     share = lambda c, i, j: F.col(f"{c}{i}{j}") / F.greatest(F.sqrt(F.col(f"{c}{i}{i}") * F.col(f"{c}{j}{j}")), F.lit(1.0)) if i != j else F.lit(1.0)
     for tag, part in (("a", unit), ("c", lambda i, j: share("s", i, j)), ("d", lambda i, j: share("h", i, j))):
@@ -203,14 +199,15 @@ def estimate(rows: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
         start = _cholesky(start, cov, [F.col(f"mid{i}") for i in range(P)], tag)
     model = scratch.write(start.select(*_kept("abcd")), "start")
     for _ in range(2):
-        halves = [scratch.write(_step(rows, model.select(*_kept(t)), t, few), f"step-{t}") for t in ("ab", "cd")]
-        model = scratch.write(halves[0].join(halves[1], "g"), "steps")
+        half = scratch.write(_step(rows, model.select(*_kept("ab")), "ab", few), "step-ab")
+        model = scratch.write(_step(rows, model.select(*_kept("cd")), "cd", few).join(_small(half, few), "g"), "steps")
+        scratch.reclaim()
     least = F.least(*(f"det{t}" for t in "abcd"))
     pick = lambda c: F.coalesce(*(F.when(F.col(f"det{t}") == least, F.col(c.replace("#", t))) for t in "abcd")).alias(c.replace("#", "e"))
     best = scratch.write(model.select("g", *(pick(c) for c in ["det#", *(f"m#{i}" for i in range(P)), *(f"l#{i}{j}" for i, j in MOMENTS)])), "best")
     for _ in range(MOST_STEPS):  # a step lowers the determinant or leaves it, up to the width of a bucket; the lower one is kept
         new = _step(rows, best, "e", few)
-        both = best.select(*(F.col(c).alias(f"was_{c}") for c in best.columns)).join(new, F.col("was_g") == F.col("g"))
+        both = new.join(_small(best.select(*(F.col(c).alias(f"was_{c}") for c in best.columns)), few), F.col("was_g") == F.col("g"))
         lower = F.col("dete") < F.col("was_dete")
         both = scratch.write(both.select("g", (F.col("was_dete") - F.col("dete")).alias("gain"), *(F.when(lower, F.col(c)).otherwise(F.col(f"was_{c}")).alias(c) for c in _kept("e")[1:])), "step")
         best = both.drop("gain")
@@ -226,9 +223,13 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """Counts, base_failed, kept and distance2 (null where a pool is too small) of every row."""
     scratch = Scratch(docs.sparkSession, "robust")
     rows = scratch.write(vectors(statistics(docs)), "stats")
-    rows = grouped(rows)
-    few = rows.select("g").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    model = estimate(rows.where(~F.col("base_failed")), scratch, few)
+    names = scratch.write(groups(rows), "groups")
+    few = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = rows.withColumn("full", _name("lang", "source")).join(_small(names, few), "full", "left").drop("full")
+    # the steps read their rows with the group, which no step finds again
+    sound = scratch.write(rows.where(~F.col("base_failed")).select("g", *(f"x{i}" for i in range(P))), "sound")
+    scratch.reclaim()
+    model = estimate(sound, scratch, few)
     out = _distance(rows.join(_small(model, few), "g", "left"), "r")
     d = F.when(F.col("n_all") >= LEAST, F.col("dr"))
     ok = ~F.col("base_failed") & F.coalesce(d <= chi2_quantile(1 - tail, P), F.lit(True))
