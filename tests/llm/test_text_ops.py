@@ -339,6 +339,19 @@ def test_sets_that_no_value_guarantees_are_joined_all_the_same(spark, monkeypatc
     assert got == brute_components(list(range(60)), texts)
 
 
+def test_rows_stay_where_they_are_when_near_duplicates_go(spark):
+    df = docs(spark, [f"one two three four five six {i % 3}" for i in range(9)])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.kept(df)
+        assert out.count() == 3
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_near_duplicates_in_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component) for r in jaccard.joined(docs(spark, ODD, ODD_IDS)).collect()]
     assert len(got) == len(ODD) and sum(n == 0 for _, n, _ in got) == 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -107,8 +108,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back to the system what earlier tasks of this worker have freed; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, in slices of about ``most`` bytes of text (one row at least)."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,6 +130,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    release()
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

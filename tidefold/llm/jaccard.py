@@ -341,6 +341,7 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     docs = sigs.where(_flag(DOC | LOW)).groupBy("k").agg(F.max(F.expr(SIZE)).alias("n"), F.max(F.when(_flag(DOC), s)).alias("own"), (F.max(F.when(_flag(LOW), s)) - 1).alias("lower"))
     docs = scratch.write(docs, "docs")
     small = docs.count() <= FEW_ROWS
+    one = F.broadcast if small else lambda x: x  # tables with a row for each text at most
     copies = sigs.where(_flag(COPY)).select(F.col("h").alias("a"), F.col("k").alias("b"), n)
     salt = s.bitwiseXOR(F.shiftleft(s, 36))
     rows = sigs.where(~lone).select(F.col("h").alias("g"), "k", "x", n, F.when(s == 0, F.col("h")).otherwise(F.col("h").bitwiseXOR(salt)).alias("h"))
@@ -350,7 +351,7 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
         turn += 1
         if turn % 2:  # each with the one that has most signatures of the group, which in a loose group is near to most
             score = told.groupBy("k").agg(F.count("*").alias("score"))
-            ordered, other = told.join(F.broadcast(score) if small else score, "k"), F.first
+            ordered, other = told.join(one(score), "k"), F.first
             line = Window.partitionBy("g").orderBy(F.desc("score"), F.xxhash64("k")).rowsBetween(Window.unboundedPreceding, 0)
         else:  # neighbours in another order each time
             ordered, other = told, F.lag
@@ -378,7 +379,7 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     left = scratch.write(told.join(priced, "h"), "left")
     taken = lambda bit: F.sum(F.when(_flag(bit), value).otherwise(0))
     lost = left.where("hot").groupBy("k").agg(taken(OWN | INDEX).alias("lost_own"), taken(LOWER).alias("lost_lower"))
-    room = docs.where("n > 0").join(lost, "k", "left").na.fill(0, ["lost_own", "lost_lower"])
+    room = docs.where("n > 0").join(one(lost), "k", "left").na.fill(0, ["lost_own", "lost_lower"])
     room = scratch.write(room.select("k", "n", (F.col("own") - F.col("lost_own")).alias("own"), F.when(F.col("lower") >= 0, F.col("lower") - F.col("lost_lower")).alias("lower")), "room")
     seek = left.where("NOT hot").where(_flag(OWN | LOWER)).select("h", "k", "n", "c", value.alias("v"), _flag(LOWER).alias("low"), "big")
     held = left.where("NOT hot").where(_flag(INDEX)).select("h", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), "big")
@@ -386,16 +387,17 @@ def links(keyed: DataFrame, scratch: Scratch, num: int = 75, den: int = 100, wor
     met = few.unionByName(across(seek.where("big").drop("big"), held.where("big").drop("big"), ["h"])).where((F.col("m") <= F.col("n")) & near(F.col("n"), F.col("m")))
     found = met.groupBy("k", "b").agg(F.sum("v").alias("found"), F.max("low").alias("low"))
     # H differences take at most so many from the values of either set, so a similar pair keeps the rest
-    found = found.join(room, "k").join(room.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
+    found = found.join(one(room), "k").join(one(room.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("own").alias("other"))), "b")
     bar = F.greatest(F.when(F.col("low"), F.col("lower")).otherwise(F.col("own")), "other") - apart(F.col("n") + F.col("m"))
     second = verified(found.where(F.col("found") >= bar).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct(), keyed, scratch, num, den, words)
     scratch.drop(left)
+    scratch.reclaim()
     # step 4: as the larger one of a pair, and as the smaller one
     top = F.expr("shiftleft(1L, length(bin(n)) - 1) - 1")
     as_larger = (F.col("own") <= apart(2 * F.col("n"))) | F.coalesce(F.col("lower") <= apart(F.col("n") + top), F.lit(False))
     as_smaller = F.col("own") <= apart(F.col("n") + F.floor(F.col("n") * den / num))
     poor = room.select("k", "n", as_larger.alias("larger"), as_smaller.alias("smaller")).where("larger OR smaller")
-    poor = scratch.write(poor.join(label, "k", "left").withColumn("c", F.coalesce("c", "k")), "poor")
+    poor = scratch.write(poor.join(one(label), "k", "left").withColumn("c", F.coalesce("c", "k")), "poor")
     out = label.select(F.col("k").alias("a"), F.col("c").alias("b")).unionByName(late).unionByName(second).unionByName(copies.select("a", "b"))
     if poor.where("larger").limit(1).count():
         out = out.unionByName(rest(poor, keyed, scratch, num, den, words))
@@ -454,8 +456,8 @@ def joined(docs: DataFrame, num: int = 75, den: int = 100, words: int = 5, scrat
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     keyed, plain = order_key(docs, scratch)
     sizes, found = links(keyed, scratch, num, den, words)
-    comp = components(found, scratch)
-    out = sizes.join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component"))
+    comp = bounded(scratch.write(components(found, scratch).withColumnRenamed("node", "k"), "components"))
+    out = sizes.join(comp, "k", "left").select("k", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component"))
     if plain:
         return out.select("k", F.col("k").alias("doc_id"), "n_shingles", "component", F.col("component").alias("component_id"))
     ids = keyed.select("k", "doc_id")
@@ -468,13 +470,13 @@ def kept(docs: DataFrame) -> DataFrame:
     n, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
     if n == ids and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         gone = joined(docs, scratch=scratch).where("component <> k").select("doc_id")
-        return docs.join(scratch.write(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(bounded(scratch.write(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
     # rows without an id of their own are numbered first, in the order of (doc_id, text)
     order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256)]
     n = fits(docs.columns, "_n")
     rows = scratch.write(docs.orderBy(*order).withColumn(n, F.monotonically_increasing_id()), "numbered")
     gone = joined(rows.select(F.col(n).alias("doc_id"), "text"), scratch=scratch).where("component <> k").select(F.col("doc_id").alias(n))
-    return rows.join(gone, n, "left_anti").select(*docs.columns)
+    return rows.join(bounded(scratch.write(gone, "gone")), n, "left_anti").select(*docs.columns)
 
 
 def op4_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
